@@ -149,7 +149,19 @@ def get_ints(blob: bytes) -> np.ndarray:
         return (np.ascontiguousarray(planes.T).view("<u8").reshape(-1) + np.asarray(base).view(U64)).view(np.int64)
 
 
-def chunks(batches, size: int = 4 << 20):
+def slices(texts: list[bytes], size: int = 2 << 20):
+    """Slices of texts that hold about so many bytes each."""
+    a = held = 0
+    for b, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield slice(a, b + 1)
+            a, held = b + 1, 0
+    if a < len(texts):
+        yield slice(a, len(texts))
+
+
+def chunks(batches, size: int = 2 << 20):
     """(doc_ids, texts as UTF-8) from Arrow batches of (doc_id, text), some megabytes at a time; null texts are empty."""
     ids, texts, held = [], [], 0
     for batch in batches:

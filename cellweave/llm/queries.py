@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import substring_dedup
+from . import simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op3_simhash": simhash.op3_simhash,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     }
 
 
