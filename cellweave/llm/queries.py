@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import simhash, substring_dedup, suffix_dedup
+import corpus_pipeline
+
+from . import decontaminate, html_extract, packing, pii, quality, simhash, substring_dedup, suffix_dedup, syncmers, url_filter
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
+        "op4_packing": packing.op4_packing,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op6_html_extract": html_extract.op6_html_extract,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+        "op8_pii": pii.op8_pii,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_syncmers": syncmers.op10_syncmers,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontaminate": decontaminate.OP9_SQL}
