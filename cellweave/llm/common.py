@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -53,12 +55,20 @@ class Workspace:
             pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of DataFrames that are no longer referenced."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size, from file sizes; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_for(df: DataFrame, each: int = 16 << 20) -> int:
+def parts_for(df: DataFrame, each: int = 8 << 20) -> int:
     """Partitions for a shuffle of df's rows: they grow with the input, so that a task's share doesn't."""
     held = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return int(min(max(held, -(-min(plan_bytes(df), 1 << 50) // each)), 200_000))

@@ -18,10 +18,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, put_ints, put_sorted, random_words, slices, table
+from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, put_ints, put_sorted, random_words, release, slices, table
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 FOUND = "shard int, kind int, codes binary, docs binary"
@@ -219,7 +220,7 @@ def cut_stretches(length: int, shards: int, buckets: int):
             for s, x in groups:
                 o = order[x]
                 text = b"".join(strings[k][: int(c[k]) + length - 1] for k in o.tolist())
-                out.append((s, SEEN, h[o].astype("<u8").tobytes(), put_ints(i[o]), put_ints(v[o]), put_ints(s0[o]), put_ints(c[o]), text))
+                out.append((s, SEEN, h[o].astype("<u8").tobytes(), put_ints(i[o]), put_ints(v[o]), put_ints(s0[o]), put_ints(c[o]), zstandard.compress(text, 3)))
         return pa.Table.from_batches([record(out, STRETCH)])
 
     return run
@@ -351,7 +352,7 @@ def lost_starts(length: int, buckets: int):
             if kind == LOST:
                 out.append((int(doc[0] % buckets), LOST, b"", *(put_ints(x) for x in (doc, get_ints(ver), get_ints(start), get_ints(size))), b""))
                 continue
-            size = get_ints(size)
+            size, text = get_ints(size), zstandard.decompress(text)
             ends = np.cumsum(size + length - 1).tolist()
             strings += [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             parts.append((np.frombuffer(code, "<u8"), doc, get_ints(ver), get_ints(start), size))
@@ -426,7 +427,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
     space = Workspace(docs.sparkSession, "suffixes")
     docs = documents_of(docs)
     parts = parts_for(docs)
-    shards, buckets = 2 * parts, 2 * parts + 1
+    shards, buckets = parts, parts | 1
     bucket = F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(-1)).cast("int").alias("bucket")
     dealt = docs.select("*", bucket)
 
@@ -436,7 +437,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
     found = docs.mapInArrow(anchors(length, shards, buckets), FOUND).groupBy("shard").applyInArrow(repeated(shards, buckets), FOUND)
     cuts = dealt.groupBy("bucket").cogroup(known(found)).applyInArrow(cut_stretches(length, shards, buckets), STRETCH)
     lost = space.save(cuts.groupBy("shard").applyInArrow(lost_starts(length, buckets), STRETCH), "lost")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets the cleaner drop shuffle files
+    del found, cuts
+    release(docs.sparkSession)
     out = dealt.groupBy("bucket").cogroup(known(lost)).applyInArrow(remove_bytes(length), RESULT)
     return out if keep_text else out.drop("kept")
 
