@@ -12,13 +12,28 @@ MAX_TEXT = 32767
 DELTA = 1e-13
 
 
-@dataclass(frozen=True)
 class Err(Exception):
-    code: str
+    """An error as a value; raised inside functions to become their result."""
+
+    def __init__(self, code: str):
+        super().__init__(code)
+        self.code = code
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Err) and other.code == self.code
+
+    def __hash__(self) -> int:
+        return hash(self.code)
+
+    def __repr__(self) -> str:
+        return f"Err({self.code!r})"
 
     def __str__(self) -> str:
         return self.code
 
+    def __reduce__(self):
+        return Err, (self.code,)
+
 
 NULL, DIV0, VALUE, REF, NAME, NUM, NA, CALC = (Err(c) for c in ("#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A", "#CALC!"))
 ERRORS = {e.code: e for e in (NULL, DIV0, VALUE, REF, NAME, NUM, NA, CALC)}
