@@ -30,7 +30,8 @@ def shown(df: DataFrame, key: str) -> Column:
 def groupby(df: DataFrame, keys: list[str], values: list[str], function: str = "SUM", depth: int = 1, sort: int | None = None, names: list[str] | None = None) -> DataFrame:
     """GROUPBY: groups by nested keys (text without case), with a grand total if depth is 1 or more, subtotals of outer
     keys down to depth, above the groups if depth is negative. sort: the number of a key or, beyond them, of a value;
-    negative descends. A total's first key reads Total; a subtotal's inner keys are empty. One grouping-sets aggregate."""
+    negative descends. A total's first key reads Total; a subtotal's inner keys are empty. An empty table has no groups and
+    no total. One grouping-sets aggregate."""
     names = names or values
     n = len(keys)
     packs = [f"_k{k}" for k in range(n)]
