@@ -13,8 +13,10 @@ the number of classes; a length that a third of all documents have is spread ove
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +26,92 @@ from pyspark.sql import functions as F
 from .common import Workspace, chunks, documents_of, parts_for, table
 
 QUANTUM = 8
-CACHED = 250_000
+CACHED = 300_000
 END = 1
 
 
+#: Letters whose lower case is the same for any tokenizer, in any context.
+PLAIN = re.compile("[^\x00-\u024f]")
+#: Between a small letter and punctuation (but an apostrophe, which may begin a contraction) words are cut anyway.
+STOP = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])(?=[!-&(-/:-@\\[-`{-~])")
+#: Bytes as the byte-level vocabularies spell them: printable ones stand for themselves, the rest follow from 256 on.
+SPELLED = {b: chr(b) for b in [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]}
+SPELLED |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in SPELLED)}
+
+
+class Numbered(dict):
+    """Words by number; a word not seen before gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__({"": 0})
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.fresh.append(word)
+        return k
+
+
 class WordEncoder:
-    """Ids of a tokenizer that never joins what blanks and line feeds separate, word by word, with a bounded store of
-    words seen. Every word's ids are the tokenizer's own."""
+    """Ids of a tokenizer that lower-cases, never joins what blanks and line feeds separate, and splits letters from
+    punctuation. Each distinct word is encoded once by the tokenizer itself and kept in a bounded store."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, apart: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.apart, self.apart_id = apart, self.tokenizer.token_to_id(apart)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known = Numbered()
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.size = np.zeros(CACHED * 2, np.int64), np.zeros(CACHED * 2, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, np.uint32)
-            k = len(self.known)
-            if k == len(self.at):
+        """Encodes words: those of Latin letters by the tokenizer's model, which is all that is left to do for them; others
+        together, a special token between them; those that may hold one, one by one."""
+        letters = [w for w in words if w.isalpha() and not PLAIN.search(w) and w.islower()]
+        held = set(letters)
+        plain = [w for w in words if w not in held and "<|" not in w]
+        odd = [w for w in words if w not in held and "<|" in w]
+        parts = []
+        if letters:
+            tokens = self.model.tokenize
+            found = [[t.id for t in tokens(w if w.isascii() else w.encode().decode("latin-1").translate(SPELLED))] for w in letters]
+            parts.append((letters, np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)))))
+        if plain:
+            ids = np.array(self.tokenizer.encode(self.apart.join(plain), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.apart_id)
+            size = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+            parts.append((plain, ids[ids != self.apart_id], size))
+        if odd:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            parts.append((odd, np.concatenate(found), np.array([len(f) for f in found])))
+        for names, ids, size in parts:
+            at = np.array([self.known[w] for w in names])
+            while len(self.known) > len(self.at):
                 self.at, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.at, self.size))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
             self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k] = self.used, len(ids)
+            self.at[at], self.size[at] = self.used + np.cumsum(size) - size, size
             self.used += len(ids)
-            self.known[word] = k
+
+    def words(self, text: str) -> list[str]:
+        if "<|" not in text and not PLAIN.search(text):
+            text = STOP.sub(" ", text.lower())
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHED:
             self.clear()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        for start in range(0, len(batch := sorted(new)), 20_000):
-            self.learn(batch[start : start + 20_000])
-        index = np.array([known[w] for ws in words for w in ws], np.int64)
+        words = [self.words(t) for t in texts]
+        index = np.array(list(map(self.known.__getitem__, chain.from_iterable(words))), np.int64)
+        fresh, self.known.fresh = self.known.fresh, []
+        for start in range(0, len(fresh), 20_000):
+            self.learn(fresh[start : start + 20_000])
         size = self.size[index]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.at[index] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
