@@ -74,8 +74,18 @@ def parts_for(df: DataFrame, each: int = 8 << 20) -> int:
     return int(min(max(held, -(-min(plan_bytes(df), 1 << 50) // each)), 200_000))
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session's Arrow batches hold at most so many bytes, unless they are set to hold less already:
+    Spark's own buffers for them lie outside its heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def documents_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and the text's UTF-8 bytes, by name; other columns are left out."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), *more)
 
 
@@ -120,10 +130,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     """A 64-bit polynomial hash of every word over a random table of byte values."""
     if not len(starts):
         return np.zeros(0, U64)
-    at = np.arange(len(buf), dtype=np.int64)
-    owner = np.zeros(len(buf), np.int64)
+    at = np.arange(len(buf), dtype=np.int32)
+    owner = np.zeros(len(buf), np.int32)
     owner[starts] = np.diff(starts, prepend=0)
-    at -= np.cumsum(owner)
+    at -= np.cumsum(owner, dtype=np.int32)
+    del owner
     longest = int((ends - starts).max())
     values = random_words(seed, 256)[buf]
     with np.errstate(over="ignore"):

@@ -92,8 +92,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """docs without contaminated ones; columns as they are."""
     found = hits(keyed(docs), items, width).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-    h1, h2 = text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(found, (h1 == F.col("_h1")) & (h2 == F.col("_h2")), "left_anti")
+    h1, h2 = text_key(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(found, (h1 == found["_h1"]) & (h2 == found["_h2"]), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -242,12 +242,22 @@ def added_spans(text: Column, base: Column, trees: list[dict], cuts: list[float]
     return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["t"].alias("t")))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with base_spans and all_spans, arrays of (s, k, e, t) by s, then k. Null text: none."""
+def with_spans(docs: DataFrame, base: str = "base_spans", every: str = "all_spans") -> DataFrame:
+    """docs with two more columns, base and all spans as arrays of (s, k, e, t) by s, then k. Null text: none. The names
+    must be new to docs."""
     trees, cuts = model(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     both = let(base_spans(text), lambda b: F.struct(b.alias("b"), added_spans(text, b, trees, cuts).alias("a")))
-    return docs.withColumn("_both", both).withColumn("base_spans", F.col("_both.b")).withColumn("all_spans", F.sort_array(F.concat("_both.b", "_both.a"))).drop("_both")
+    held = unused(docs, "both")
+    return docs.withColumn(held, both).withColumn(base, F.col(f"{held}.b")).withColumn(every, F.sort_array(F.concat(f"{held}.b", f"{held}.a"))).drop(held)
+
+
+def unused(docs: DataFrame, stem: str) -> str:
+    """A column name that docs hasn't."""
+    taken, name = {c.lower() for c in docs.columns}, f"_{stem}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def written(spans: Column) -> Column:
@@ -266,8 +276,8 @@ def detected(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of text replaced by its kind in square brackets; overlapping spans are one, of the kind that
     starts first. Null text stays null; other columns are as they are, n_chars is counted anew."""
-    columns = docs.columns
-    rows = with_spans(docs)
+    columns, base, every = docs.columns, unused(docs, "base"), unused(docs, "every")
+    rows = with_spans(docs, base, every)
 
     def merged(spans: Column) -> Column:
         one = "struct<s:int,k:int,e:int>"
@@ -288,7 +298,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         end = F.get(m, F.size(m) - 1)["e"]
         return F.concat(F.array_join(parts, ""), F.substring("text", end + 1, F.length("text")))
 
-    text = F.when(F.size("all_spans") > 0, let(merged(F.col("all_spans")), rebuilt)).otherwise(F.col("text"))
+    text = F.when(F.size(every) > 0, let(merged(F.col(every)), rebuilt)).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
