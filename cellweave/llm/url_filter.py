@@ -72,10 +72,18 @@ def plain(n: int = 200, seed: int = 5) -> list[str]:
     return [f"{r.choice(('', '', 'www.', 'blog.', 'm.'))}{''.join(r.choice(pairs) for _ in range(r.randint(2, 6)))}.test/{r.choice(('en', 'fr', 'de', 'es'))}/{r.randint(1, 999)}{r.choice(('', '', '/', '.html'))}" for _ in range(n)]
 
 
+def pushy(n: int = 200, seed: int = 6) -> list[str]:
+    """Further URLs to block: stems of such sites, decorated."""
+    r = random.Random(seed)
+    stems = "casino slots jackpot poker pills meds pharma viagra replica loans bets betting spins prizes ads adserver tracker popup banner clicks spam linkfarm seo warez cracks keygen cams".split()
+    before, after = ("", "", "mega", "best", "cheap", "free", "super", "my", "e"), ("", "", "4u", "-online", "-win", "-shop", "-club", "24", "-now", "-links", "-zone")
+    return [f"{r.choice(('', '', 'www.', 'blog.', 'm.'))}{r.choice(before)}{r.choice(('', '-'))}{r.choice(stems)}{r.choice(after)}.test/{r.choice(('en', 'fr', 'de', 'es'))}/{r.randint(1, 999)}{r.choice(('', '', '/', '.html'))}".replace("//", "/") for _ in range(n)]
+
+
 @cache
 def model(steps: int = 3000, rate: float = 200.0, decay: float = 2e-5) -> tuple[tuple[float, ...], float]:
     """Weights and intercept by full-batch gradient descent; no randomness."""
-    urls = [(u, 1.0) for u in BLOCKED.split()] + [(u, 0.0) for u in [*ALLOWED.split(), *plain()]]
+    urls = [(u, 1.0) for u in [*BLOCKED.split(), *pushy()]] + [(u, 0.0) for u in [*ALLOWED.split(), *plain()]]
     urls = [(u.replace(".test/", f"{label}/"), k) for u, k in urls for label in LABELS]
     x, y = np.zeros((len(urls), SLOTS)), np.array([k for _, k in urls])
     for r, (url, _) in enumerate(urls):
@@ -129,7 +137,7 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def judged(pages: DataFrame, rules=RULES, threshold: float = 0.4) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page. Null urls and urls without :// have an empty host and
     path and the method's verdict on these; null page_ids and repeated rows come back as they are. Extra columns are
     ignored."""
