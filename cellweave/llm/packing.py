@@ -192,13 +192,19 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, most: int =
         basis[:, out] = pattern
         x = np.linalg.solve(basis, demand.astype(float))
     left, plan = demand.astype(np.int64).copy(), []
+    whole = np.floor(x + 1e-6)
     for j in np.argsort(-x, kind="stable"):
         pattern = np.rint(basis[:, j]).astype(np.int64)
         used = pattern > 0
-        times = min(int(np.floor(x[j] + 1e-6)), int((left[used] // pattern[used]).min())) if used.any() else 0
+        times = min(int(whole[j]), int((left[used] // pattern[used]).min())) if used.any() else 0
         if times > 0:
             plan.append((pattern, times))
             left -= pattern * times
+    for j in np.argsort(whole - x, kind="stable"):  # once more where most is left over, as far as demand goes
+        pattern = np.rint(basis[:, j]).astype(np.int64)
+        if pattern.any() and (pattern <= left).all():
+            plan.append((pattern, 1))
+            left -= pattern
     while left.any():
         pattern, free = np.zeros(n, np.int64), room
         for k in np.argsort(-sizes, kind="stable"):
