@@ -141,4 +141,23 @@ def nested_total(df: DataFrame, value: str, flag: str, function: str = "SUM", sk
     return rows.filter(F.col(value).isNotNull()).agg(measure(function, F.col(value)).alias("value")) if skip_errors else rows.agg(measure(function, F.col(value)).alias("value"))
 
 
+def groupby_lambda(df: DataFrame, keys: list[str], value: str, formula: str, name: str = "value") -> DataFrame:
+    """GROUPBY with a lambda as its aggregate, such as "LAMBDA(v,MAX(v)-MIN(v))": each group's values are its argument.
+    A group is one Arrow batch's worth of memory, so groups must be bounded; built-in aggregates have no such limit."""
+    from pyspark.sql.functions import pandas_udf
+
+    def run(values):
+        from ..functions.values import Arr, Err, single
+        from ..plans.evaluator import Evaluator
+
+        ev = Evaluator()
+        out = single(ev.apply(ev.evaluate(formula), [Arr([[None if v != v else float(v)] for v in values], True)]))
+        return None if isinstance(out, Err) or out is None else float(out)
+
+    import pandas as pd
+
+    run.__annotations__ = {"values": pd.Series, "return": float}
+    return df.groupBy(*keys).agg(pandas_udf(run, "double")(F.col(value).cast("double")).alias(name))
+
+
 assert sort_keys

@@ -240,3 +240,42 @@ def solve(c, a, b, whole: list[int] | None = None) -> tuple[np.ndarray, float] |
         stack.append((np.vstack([aa, row]), np.append(bb, np.floor(v))))
         stack.append((np.vstack([aa, -row]), np.append(bb, -np.ceil(v))))
     return best
+
+
+def minimise(f: Callable[[np.ndarray], float], start, constraints: list[Callable[[np.ndarray], float]] = (), rounds: int = 8, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Nonlinear programs: f under constraints g(x) <= 0, by an augmented Lagrangian whose subproblems are solved by a
+    simplex of points (reflect, expand, contract, shrink)."""
+    x, weight, dual = np.asarray(start, float), 1.0, np.zeros(len(constraints))
+
+    def cost(v):
+        g = np.array([c(v) for c in constraints]) if len(constraints) else np.zeros(0)
+        return f(v) + (np.maximum(dual + weight * g, 0) ** 2 - dual**2).sum() / (2 * weight)
+
+    for _ in range(rounds if len(constraints) else 2):
+        points = [x] + [x + d for d in np.eye(len(x)) * np.maximum(0.5, 0.1 * np.abs(x))]
+        values = [cost(p) for p in points]
+        for _ in range(steps * len(x)):
+            order = np.argsort(values)
+            points, values = [points[k] for k in order], [values[k] for k in order]
+            if abs(values[-1] - values[0]) < 1e-13 * (1 + abs(values[0])) and np.abs(points[-1] - points[0]).max() < 1e-9:
+                break
+            middle = np.mean(points[:-1], axis=0)
+            trial = middle + (middle - points[-1])
+            v = cost(trial)
+            if v < values[0]:
+                far = middle + 2 * (middle - points[-1])
+                w = cost(far)
+                trial, v = (far, w) if w < v else (trial, v)
+            elif v >= values[-2]:
+                trial = middle + 0.5 * (points[-1] - middle)
+                v = cost(trial)
+                if v >= values[-1]:
+                    points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
+                    values = [cost(p) for p in points]
+                    continue
+            points[-1], values[-1] = trial, v
+        x = points[int(np.argmin(values))]
+        if len(constraints):
+            dual = np.maximum(dual + weight * np.array([c(x) for c in constraints]), 0)
+            weight *= 3
+    return x, float(f(x))

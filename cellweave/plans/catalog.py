@@ -467,12 +467,12 @@ def regex_extract(spark, d):
 
 @query("lambda_map_reduce", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS norm2 FROM embeddings")
 def lambda_map_reduce(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 6).alias("norm2"))
+    return rounded(with_column(read(spark, d, "embeddings"), "norm2", "=REDUCE(0,MAP([@embedding],LAMBDA(x,x*x)),LAMBDA(a,x,a+x))").select("vec_id", "norm2"), "norm2", digits=6)
 
 
-@query("byrow_max", "SELECT vec_id, list_max(embedding) AS m FROM embeddings")
+@query("byrow_max", "SELECT vec_id, CAST(list_max(embedding) AS DOUBLE) AS m FROM embeddings")
 def byrow_max(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", F.array_max("embedding").alias("m"))
+    return with_column(read(spark, d, "embeddings"), "m", "=MAX([@embedding])").select("vec_id", "m")
 
 
 # Tools.

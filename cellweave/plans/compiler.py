@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.registry import TABLE, lifted
+from ..functions.registry import TABLE, Function, lifted
 from ..functions.values import Arr, Err, text
 from ..operators.criteria import criterion
 from ..operators.groups import measure
-from .parser import MISSING_ARG, Array, Binary, Call, Lit, Name, Structured, Unary, parse
+from .parser import MISSING_ARG, Apply, Array, Binary, Call, Lit, Name, Structured, Unary, parse
 
 KINDS = {"n": "double", "t": "string", "b": "boolean"}
 
@@ -211,8 +211,8 @@ CONDITIONAL = {"SUMIF": "SUM", "SUMIFS": "SUM", "AVERAGEIF": "AVERAGE", "AVERAGE
 class Compiler:
     """Compiles formulas over `df`; tables are the frames that other tables' names stand for."""
 
-    def __init__(self, df: DataFrame | None, name: str | None = None, tables: dict[str, DataFrame] | None = None, names: dict[str, str] | None = None):
-        self.df, self.name = df, (name or "").lower()
+    def __init__(self, df: DataFrame | None, name: str | None = None, tables: dict[str, DataFrame] | None = None, names: dict[str, str] | None = None, custom: dict[str, Callable] | None = None):
+        self.df, self.name, self.custom = df, (name or "").lower(), custom or {}
         self.tables = {k.lower(): v for k, v in (tables or {}).items()}
         if name and df is not None:
             self.tables.setdefault(self.name, df)
@@ -229,6 +229,8 @@ class Compiler:
             return Val("b", F.col(c))
         if isinstance(t, T.StringType):
             return Val("t", F.col(c))
+        if isinstance(t, T.ArrayType):
+            return Val("a", F.transform(c, lambda x: x.cast("double")) if not isinstance(t.elementType, (T.StringType, T.BooleanType)) else F.col(c))
         if isinstance(t, T.DateType):
             return Val("n", serial_of(F.col(c)))
         if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
@@ -263,8 +265,29 @@ class Compiler:
             return self.binary(tree, scope)
         if isinstance(tree, Call):
             return self.call(tree, scope)
+        if isinstance(tree, Apply):
+            return self.applied(tree.fn, [self.compile(a, scope) for a in tree.args], scope)
         raise NotColumnar(f"{type(tree).__name__} has no value per row")
 
+    def applied(self, fn, given: list[Val], scope) -> Val:
+        """A lambda's body with its parameters bound; it is inlined."""
+        if isinstance(fn, Name) and fn.name.lower() in self.names:
+            fn = parse(self.names[fn.name.lower()])
+        if isinstance(fn, Name):
+            return self.call_values(fn.name.upper(), given)
+        if not isinstance(fn, Call) or fn.name != "LAMBDA" or len(fn.args) != len(given) + 1:
+            raise NotColumnar("a lambda with as many parameters is wanted")
+        return self.compile(fn.args[-1], {**scope, **{p.name.lower(): v for p, v in zip(fn.args[:-1], given, strict=True)}})
+
+    def call_values(self, name: str, given: list[Val]) -> Val:
+        if name in VALUES:
+            return VALUES[name](given)
+        if NATIVE.get(name):
+            return NATIVE[name](given)
+        if name in TABLE:
+            return arrow_call(name, given)
+        return Val("n", F.lit(None).cast("double"), F.lit("#NAME?"))
+
     def binary(self, tree: Binary, scope) -> Val:
         a, b = self.compile(tree.left, scope), self.compile(tree.right, scope)
         op = tree.op
@@ -293,10 +316,12 @@ class Compiler:
         if name in SPECIAL:
             return SPECIAL[name](self, args, scope)
         given = [Val("n", F.lit(None).cast("double")) if a == MISSING_ARG else self.compile(a, scope) for a in args]
-        if NATIVE.get(name):
-            return NATIVE[name](given)
         if name in TABLE:
-            return arrow_call(name, given)
+            return self.call_values(name, given)
+        if name.lower() in self.custom:
+            return arrow_call(name, given, self.custom[name.lower()])
+        if name.lower() in self.names:
+            return self.applied(Name(name), given, scope)
         return Val("n", F.lit(None).cast("double"), F.lit("#NAME?"))
 
     # Whole columns.
@@ -473,11 +498,59 @@ def logical(f):
 
 
 def least(f):
-    def body(c: Compiler, args, scope) -> Val:
-        v = [as_number(c.compile(a, scope)) for a in args]
-        return Val("n", f(*[x.col for x in v]) if len(v) > 1 else v[0].col, either(*[x.err for x in v]))
+    """An aggregate of a row's values; an array's items count one by one."""
 
-    return body
+    def values(v: list[Val]) -> Val:
+        if len(v) == 1 and v[0].kind == "a":
+            return Val("n", f(None, v[0].col), code(F.size(v[0].col) <= 0, "#DIV/0!") if f is average else None)
+        v = [as_number(x) for x in v]
+        return Val("n", f([x.col for x in v], None) if len(v) > 1 else v[0].col, either(*[x.err for x in v]))
+
+    return values
+
+
+def total(columns, items):
+    return F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))) if columns is None else sum(columns[1:], columns[0])
+
+
+def average(columns, items):
+    return F.try_divide(total(None, items), F.size(F.filter(items, lambda x: x.isNotNull()))) if columns is None else total(columns, None) / len(columns)
+
+
+def product(columns, items):
+    return F.aggregate(items, F.lit(1.0), lambda a, x: a * F.coalesce(x, F.lit(1.0))) if columns is None else reduce(lambda a, b: a * b, columns)
+
+
+VALUES = {
+    "SUM": least(total), "AVERAGE": least(average), "PRODUCT": least(product), "MAX": least(lambda c, i: F.coalesce(F.array_max(i), F.lit(0.0)) if c is None else F.greatest(*c)), "MIN": least(lambda c, i: F.coalesce(F.array_min(i), F.lit(0.0)) if c is None else F.least(*c)),
+    "COUNT": lambda v: Val("n", F.size(F.filter(v[0].col, lambda x: x.isNotNull())).cast("double") if v[0].kind == "a" else F.lit(float(len(v)))),
+}
+
+
+def lambda_of(c: Compiler, tree, scope, n: int) -> Callable:
+    return lambda *cols: c.applied(tree, [Val("n", x) for x in cols[:n]], scope).col
+
+
+def mapped(c: Compiler, args, scope) -> Val:
+    """MAP over an array column: a native transform."""
+    return Val("a", F.transform(array_of(c, args[0], scope), lambda x: lambda_of(c, args[1], scope, 1)(x)))
+
+
+def reduced(c: Compiler, args, scope) -> Val:
+    """REDUCE over an array column: a native fold."""
+    start = as_number(c.compile(args[0], scope)).col if args[0] != MISSING_ARG else F.lit(0.0)
+    return Val("n", F.aggregate(array_of(c, args[1], scope), start, lambda a, x: lambda_of(c, args[2], scope, 2)(a, x)))
+
+
+def array_of(c: Compiler, tree, scope) -> Column:
+    v = c.compile(tree, scope)
+    if v.kind != "a":
+        raise NotColumnar("an array column is wanted")
+    return v.col
+
+
+def has_item(c: Compiler, args, scope) -> Val:
+    return Val("b", F.coalesce(F.array_contains(array_of(c, args[0], scope), as_number(c.compile(args[1], scope)).col), F.lit(False)))
 
 
 def tested(f):
@@ -494,8 +567,7 @@ def tested(f):
 SPECIAL: dict[str, Callable] = {
     "IF": if_, "IFS": ifs, "SWITCH": switch, "LET": let, "IFERROR": caught(None), "IFNA": caught("#N/A"),
     "AND": logical(lambda a, b: a & b), "OR": logical(lambda a, b: a | b), "XOR": logical(lambda a, b: a != b),
-    "SUM": least(lambda *x: sum(x[1:], x[0])), "MAX": least(F.greatest), "MIN": least(F.least), "PRODUCT": least(lambda *x: reduce(lambda a, b: a * b, x)),
-    "AVERAGE": least(lambda *x: sum(x[1:], x[0]) / len(x)),
+    "MAP": mapped, "REDUCE": reduced, "HAS": has_item,
     "ISERROR": tested(lambda v, bad: bad), "ISERR": tested(lambda v, bad: bad & (v.err != "#N/A") if v.err is not None else bad), "ISNA": tested(lambda v, bad: F.coalesce(v.err == "#N/A", F.lit(False)) if v.err is not None else bad),
     "ISBLANK": tested(lambda v, bad: ~bad & v.col.isNull()), "ISNUMBER": tested(lambda v, bad: ~bad & v.col.isNotNull() & F.lit(v.kind == "n")), "ISTEXT": tested(lambda v, bad: ~bad & v.col.isNotNull() & F.lit(v.kind == "t")),
     "ISNONTEXT": tested(lambda v, bad: bad | v.col.isNull() | F.lit(v.kind != "t")), "ISLOGICAL": tested(lambda v, bad: ~bad & v.col.isNotNull() & F.lit(v.kind == "b")),
@@ -506,10 +578,10 @@ TEXTS = set("TEXT PROPER CHAR UNICHAR TEXTJOIN TEXTBEFORE TEXTAFTER FIXED DOLLAR
 BOOLEANS = {"ISTHAIDIGIT", "REGEXTEST"}
 
 
-def arrow_call(name: str, args: list[Val]) -> Val:
+def arrow_call(name: str, args: list[Val], custom: Callable | None = None) -> Val:
     """A call in Arrow batches: the library's own function per row, errors as codes."""
     kind = "t" if name in TEXTS else "b" if name in BOOLEANS else "n"
-    f = TABLE[name]
+    f = Function(name, "scalar", custom, "a" * len(args)) if custom else TABLE[name]
     result = T.StructType([T.StructField("v", T._parse_datatype_string(KINDS[kind])), T.StructField("e", T.StringType())])
 
     def run(batch):

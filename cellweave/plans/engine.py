@@ -43,7 +43,7 @@ class Engine:
 
     def with_column(self, table: str, name: str, formula: str, errors: bool = False) -> DataFrame:
         df = self.tables[table.lower()]
-        return Compiler(df, table, self.tables, self.names).with_column(name, formula, errors)
+        return Compiler(df, table, self.tables, self.names, self.custom).with_column(name, formula, errors)
 
     def query(self, formula: str) -> DataFrame:
         """The rows a formula stands for; a scalar gives one row (value, error)."""
