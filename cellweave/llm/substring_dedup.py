@@ -2,7 +2,8 @@
 
 The index is a list of sorted immutable runs, sharded by fingerprint. A new batch is turned into sorted pieces inside
 its own tasks, merge-joined with the runs shard by shard, and what is new becomes a run of its own; runs of one level
-are compacted into one of the next. A fingerprint is 64 bits: 40 bits of one hash are what the merge joins on, 24 bits
+are compacted into one of the next. FingerprintIndex keeps the runs in tables between calls; substring_dedup loads a
+whole table, whose batches (by doc_id) go through each shard's runs one after the other inside the shard's task. A fingerprint is 64 bits: 40 bits of one hash are what the merge joins on, 24 bits
 of an independent one verify the match, so a window is taken for another with a chance of about (windows held) / 2^64.
 
 Scale: the windows travel as arrays of sorted codes, not as rows; a piece tells a shard each code once, with its least
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, put_ints, put_sorted, random_words, table, word_bounds, word_hashes
+from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, put_ints, put_sorted, random_words, release, slices, table, word_bounds, word_hashes
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 PIECE = "shard int, kind int, codes binary, docs binary"
 RUN, SEEN, LOST = 0, 1, 2
-PIECE_WINDOWS = 4_000_000
+PIECE_WINDOWS = 800_000
 
 
 def window_codes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,37 +111,63 @@ def by_bucket(codes: np.ndarray, docs: np.ndarray, buckets: int):
         yield int(bucket[a]), codes[a:b].astype("<u8").tobytes(), put_ints(docs[a:b])
 
 
-def merge_shard(buckets: int):
-    """Joins a shard's pieces with its runs: the codes that are new make a run; the others, and those that several
-    documents of the batch hold, are what documents lose. Batches come in order of doc_id, so runs need no documents."""
+class Runs:
+    """One shard's sorted immutable runs, each with its level."""
+
+    def __init__(self, fanout: int, held: list[np.ndarray] = ()):
+        self.fanout, self.runs = fanout, [(0, h) for h in held]
+
+    def join(self, code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a batch's entries in order of (code, doc): which of them are lost, and the codes that are new. An entry is
+        lost if a run has its code (runs hold earlier batches, so they need no documents) or if another document of the
+        batch, of smaller id, has it too. Codes are equal only if key and check bits both are."""
+        first = np.ones(len(code), bool)
+        first[1:] = code[1:] != code[:-1]
+        own, least = code[first], doc[first]
+        known = np.zeros(len(own), bool)
+        for _, held in self.runs:
+            at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+            known |= held[at] == own
+        group = np.cumsum(first) - 1
+        return known[group] | (doc != least[group]), own[~known]
+
+    def add(self, new: np.ndarray) -> None:
+        """A run of level 0; while a level holds `fanout` runs, they become one of the next."""
+        if len(new):
+            self.runs.append((0, new))
+        while self.runs and sum(k == self.runs[-1][0] for k, _ in self.runs) >= self.fanout:
+            level = self.runs[-1][0]
+            merged = np.sort(np.concatenate([r for k, r in self.runs if k == level]))  # runs of one index share no code
+            self.runs = [(k, r) for k, r in self.runs if k != level] + [(level + 1, merged)]
+
+
+def merge_shard(buckets: int, fanout: int, cuts: tuple[int, ...] = (), keep: bool = True):
+    """Joins a shard's pieces with its runs, batch after batch (the entries between the doc_ids `cuts`): what documents
+    lose, by bucket, and, to keep, what is new as a run."""
 
     def run(key, t):
         kinds, blobs, docs = (t.column(c).to_pylist() for c in ("kind", "codes", "docs"))
-        shard = key[0].as_py()
-        out = []
-        for kind, c, d in zip(kinds, blobs, docs, strict=True):
-            if kind == LOST:
-                where = get_ints(d)
-                out.append((int(where[0] % buckets), LOST, c, d))
+        out = [(int(get_ints(d)[0] % buckets), LOST, c, d) for k, c, d in zip(kinds, blobs, docs, strict=True) if k == LOST]
+        runs = Runs(fanout, [get_sorted(c) for k, c in zip(kinds, blobs, strict=True) if k == RUN])
         seen = [(get_sorted(c), get_ints(d)) for k, c, d in zip(kinds, blobs, docs, strict=True) if k == SEEN]
+        del blobs
         if seen:
             code, doc = (np.concatenate(x) for x in zip(*seen, strict=True))
-            order = np.lexsort((doc, code))
-            code, doc = code[order], doc[order]
-            first = np.ones(len(code), bool)
-            first[1:] = code[1:] != code[:-1]
-            own, least = code[first], doc[first]
-            known = np.zeros(len(own), bool)
-            for k, c in zip(kinds, blobs, strict=True):
-                if k == RUN:
-                    held = get_sorted(c)
-                    at = np.minimum(np.searchsorted(held, own), len(held) - 1)
-                    known |= held[at] == own
-            group = np.cumsum(first) - 1
-            lost = known[group] | (doc != least[group])
-            out += [(b, LOST, c, d) for b, c, d in by_bucket(code[lost], doc[lost], buckets)]
-            if not known.all():
-                out.append((shard, RUN, put_sorted(own[~known]), b""))
+            del seen
+            part = np.searchsorted(np.array(cuts, np.int64), doc, "left")
+            fresh, gone = [], []
+            for b in range(len(cuts) + 1):
+                own = np.flatnonzero(part == b)
+                own = own[np.lexsort((doc[own], code[own]))]
+                lost, new = runs.join(code[own], doc[own])
+                gone.append(own[lost])
+                runs.add(new)
+                fresh.append(new)
+            gone = np.concatenate(gone)
+            out += [(b, LOST, c, d) for b, c, d in by_bucket(code[gone], doc[gone], buckets)]
+            fresh = np.sort(np.concatenate(fresh))
+            if keep and len(fresh):
+                out.append((key[0].as_py(), RUN, put_sorted(fresh), b""))
         return pa.Table.from_batches([batch(out)])
 
     return run
@@ -162,8 +189,8 @@ def remove_windows(width: int):
         order = np.argsort(doc, kind="stable")
         doc, code = doc[order], code[order]
         rows = []
-        for a in range(0, len(ids), 256):
-            some, own = texts[a : a + 256], ids[a : a + 256]
+        for part in slices(texts):
+            some, own = texts[part], ids[part]
             codes, owner, _ = window_codes(some, width)
             cuts = np.searchsorted(owner, np.arange(len(some) + 1))
             for k, (i, text) in enumerate(zip(own, some, strict=True)):
@@ -186,6 +213,15 @@ def remove_windows(width: int):
     return run
 
 
+def without(docs: DataFrame, lost: DataFrame, buckets: int, width: int, keep_text: bool) -> DataFrame:
+    """The documents without what they lose, dealt by bucket of doc_id."""
+    lost = lost.filter(F.col("kind") == LOST).select(F.col("shard").alias("bucket"), "codes", "docs")
+    bucket = F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(-1)).cast("int").alias("bucket")
+    done = docs.select("*", bucket).groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(remove_windows(width), RESULT.replace("kept string", "kept binary"))
+    kept = F.col("kept").cast("string").alias("kept")
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", *[kept] * keep_text)
+
+
 class FingerprintIndex:
     """Window fingerprints of all earlier batches. ingest() takes batches in order of doc_id (or of arrival)."""
 
@@ -201,12 +237,8 @@ class FingerprintIndex:
         rows = docs.mapInArrow(pieces(self.width, self.shards, self.buckets), PIECE)
         for _, _, run in self.runs:
             rows = rows.unionByName(run)
-        merged = self.space.save(rows.groupBy("shard").applyInArrow(merge_shard(self.buckets), PIECE), f"batch{self.n}")
-        lost = merged.filter(F.col("kind") == LOST).select(F.col("shard").alias("bucket"), "codes", "docs")
-        bucket = F.coalesce(F.pmod("doc_id", F.lit(self.buckets)), F.lit(-1)).cast("int").alias("bucket")
-        done = docs.select("*", bucket).groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(remove_windows(self.width), RESULT.replace("kept string", "kept binary"))
-        kept = F.col("kept").cast("string").alias("kept")
-        done = self.space.save(done.select("doc_id", "n_words", "n_removed", "kept_sha256", *[kept] * keep_text), f"done{self.n}")
+        merged = self.space.save(rows.groupBy("shard").applyInArrow(merge_shard(self.buckets, self.fanout), PIECE), f"batch{self.n}")
+        done = self.space.save(without(docs, merged, self.buckets, self.width, keep_text), f"done{self.n}")
         run = self.space.save(merged.filter(F.col("kind") == RUN), f"run{self.n}")
         self.space.remove(f"batch{self.n}")
         self.runs.append((0, f"run{self.n}", run))
@@ -230,32 +262,22 @@ class FingerprintIndex:
             self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, f"run{self.n}", merged)]
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, batches: int = 3, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, batches: int = 4, keep_text: bool = True, fanout: int = 2) -> DataFrame:
     """Each document without the words that a window of `width` words covers which also starts in a document of
-    smaller doc_id. `docs` is dealt into batches by doc_id, and these go through a FingerprintIndex one by one.
+    smaller doc_id. The table is a sequence of batches by doc_id, which are indexed one after the other.
 
     Null text: no words, and the hash of the empty string. Null doc_id: no document is smaller or larger; the row comes
     back whole. Rows that share a doc_id don't take words from each other. Extra columns are ignored."""
     spark = docs.sparkSession
     parts = parts_for(docs)
-    index = FingerprintIndex(spark, shards=2 * parts, buckets=2 * parts + 1, width=width)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = sorted(set(ids.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    out = None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        own = F.lit(True)
-        if low is not None:
-            own &= F.col("doc_id") > int(low)
-        if high is not None:
-            own &= F.col("doc_id") <= int(high)
-        if low is None:
-            own |= F.col("doc_id").isNull()
-        done = index.ingest(docs.filter(own), keep_text)
-        out = done if out is None else out.unionByName(done)
-        spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the batch's shuffle files
-    for _, name, _ in index.runs:
-        index.space.remove(name)
-    return out
+    shards, buckets = parts, parts | 1
+    docs = documents_of(docs)
+    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+    space = Workspace(spark, "fingerprints")
+    merge = merge_shard(buckets, fanout, tuple(sorted({int(c) for c in cuts})), keep=False)
+    lost = space.save(docs.mapInArrow(pieces(width, shards, buckets), PIECE).groupBy("shard").applyInArrow(merge, PIECE), "lost")
+    release(spark)
+    return without(docs, lost, buckets, width, keep_text)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
