@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.values import ERRORS, Err, text
 from ..plans.evaluator import Evaluator, Table, Workbook
 from ..plans.parser import column_letters, column_number
+from .binary import ods_bytes, read_xls, read_xlsb, xls_bytes
 from .text import decode, fields, infer_delimiter, typed
 
 CELLS = "path string, sheet_idx int, sheet string, row long, col int, kind string, num double, str string, bool boolean, err string, formula string"
@@ -245,7 +246,7 @@ def read_text(data: bytes) -> Iterator[Row]:
         held = ""
 
 
-READERS = {"xlsx": read_xlsx, "ods": read_ods, "slk": read_slk, "xml2003": read_xml2003, "gnumeric": read_gnumeric, "html": read_html, "csv": read_text}
+READERS = {"xlsx": read_xlsx, "xlsb": read_xlsb, "xls": read_xls, "ods": read_ods, "slk": read_slk, "xml2003": read_xml2003, "gnumeric": read_gnumeric, "html": read_html, "csv": read_text}
 
 
 def read_bytes(data: bytes, name: str = "") -> Iterator[Row]:
@@ -416,6 +417,30 @@ def save_workbook(book: Workbook, path: str) -> None:
         f.write(xlsx_bytes({t: rows(t) for t in book.sheets}))
 
 
+def write_ods(frames: dict[str, DataFrame], path: str) -> None:
+    """Tables as the sheets of one OpenDocument file, streamed."""
+
+    def rows(df: DataFrame):
+        yield 1, [(c + 1, n, None) for c, n in enumerate(df.columns)]
+        for r, row in enumerate(df.toLocalIterator(), 2):
+            yield r, [(c + 1, plain(v), None) for c, v in enumerate(row)]
+
+    with open(path, "wb") as f:
+        f.write(ods_bytes({n: rows(df) for n, df in frames.items()}))
+
+
+def write_xls(frames: dict[str, DataFrame], path: str) -> None:
+    """Tables as the sheets of one binary file; the format holds 65,536 rows by 256 columns."""
+
+    def cells(df: DataFrame):
+        yield from ((1, c + 1, n) for c, n in enumerate(df.columns))
+        for r, row in enumerate(df.toLocalIterator(), 2):
+            yield from ((r, c + 1, plain(v)) for c, v in enumerate(row))
+
+    with open(path, "wb") as f:
+        f.write(xls_bytes({n: cells(df) for n, df in frames.items()}))
+
+
 def write_html(df: DataFrame, path: str, title: str = "Sheet1") -> None:
     """One table as a page, streamed."""
     with open(path, "w", encoding="utf-8") as f:

@@ -58,5 +58,39 @@ def test_other_formats(spark, tmp_path):
     assert list(workbooks.read_bytes(gn)) == [(0, "G", 1, 2, 2.5, None), (0, "G", 2, 2, None, "B1*2")]
     page = b"<table><tr><th>a<th colspan=2>b</tr><tr><td>1</td><td>&lt;x&gt;</td></tr></table>"
     assert [r[2:5] for r in workbooks.read_bytes(page)] == [(1, 1, "a"), (1, 2, "b"), (2, 1, 1.0), (2, 2, "<x>")]
-    with pytest.raises(workbooks.Unsupported):
-        workbooks.read_bytes(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1....")
+
+
+def test_binary_and_ods(spark, tmp_path):
+    df = spark.createDataFrame([(1.5, "x é"), (2.0, None)], "n double, s string")
+    for name, write in (("t.xls", workbooks.write_xls), ("t.ods", workbooks.write_ods)):
+        write({"T": df, "U": df.limit(1)}, str(tmp_path / name))
+        rows = list(workbooks.read_bytes((tmp_path / name).read_bytes(), name))
+        assert [r[1:5] for r in rows if r[0] == 0] == [("T", 1, 1, "n"), ("T", 1, 2, "s"), ("T", 2, 1, 1.5), ("T", 2, 2, "x é"), ("T", 3, 1, 2.0)]
+        assert {r[1] for r in rows} == {"T", "U"}
+    assert sorted(r.n for r in workbooks.read_any(spark, str(tmp_path / "t.xls")).collect()) == [1.5, 2.0]
+
+
+def xlsb_file():
+    import io
+    import struct
+    import zipfile
+
+    def rec(kind, body):
+        head = bytes([kind]) if kind < 128 else bytes([kind & 0x7F | 0x80, kind >> 7])
+        return head + bytes([len(body)]) + body
+
+    wide = lambda t: struct.pack("<I", len(t)) + t.encode("utf-16-le")
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/workbook.bin", rec(156, struct.pack("<II", 0, 1) + wide("rId1") + wide("S")))
+        z.writestr("xl/_rels/workbook.bin.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.bin"/></Relationships>')
+        z.writestr("xl/sharedStrings.bin", rec(19, b"\0" + wide("hi")))
+        cell = lambda c: struct.pack("<II", c, 0)
+        body = rec(0, struct.pack("<I", 2) + b"\0" * 8) + rec(7, cell(0) + struct.pack("<I", 0)) + rec(5, cell(1) + struct.pack("<d", 2.5)) + rec(2, cell(2) + struct.pack("<I", 7 << 2 | 2)) + rec(4, cell(3) + b"\1") + rec(3, cell(4) + b"\x07")
+        z.writestr("xl/worksheets/sheet1.bin", body)
+    return buffer.getvalue()
+
+
+def test_xlsb():
+    rows = [r[2:5] for r in workbooks.read_bytes(xlsb_file())]
+    assert rows == [(3, 1, "hi"), (3, 2, 2.5), (3, 3, 7.0), (3, 4, True), (3, 5, DIV0)]
