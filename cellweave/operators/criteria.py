@@ -86,18 +86,50 @@ def remove_duplicates(df: DataFrame, columns: list[str], order: list[str] | None
     return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or columns)))).filter(F.col(n) == 1).drop(n)
 
 
+#: A top-k is taken by sorting heaps of at most so many rows; beyond that the k-th value is searched for.
+MOST_TOP = 100_000
+
+
+def kth(df: DataFrame, column: str, k: int, largest: bool = True):
+    """The k-th largest (or smallest) value of a numeric column; None if there are fewer. Small k by a top-k; others by
+    selection: brackets of approximate quantiles around the k-th are narrowed, one aggregate a round, until a bracket
+    holds few enough rows for a top-k. Only counts and bounds come to the driver."""
+    sign = 1 if largest else -1
+    x = df.select((F.col(column).cast("double") * sign).alias("x")).filter("x IS NOT NULL")
+    low, high, left = None, None, k
+    for _ in range(20):
+        rows = x
+        if low is not None:
+            rows = rows.filter((F.col("x") >= low) & (F.col("x") <= high))
+        if left <= MOST_TOP:
+            got = rows.orderBy(F.col("x").desc()).limit(left).agg(F.min("x").alias("m"), F.count("x").alias("n")).first()
+            return None if got.n < left else got.m * sign
+        facts = rows.agg(F.count("x").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).first()
+        if facts.n < left:
+            return None
+        if facts.a == facts.b:
+            return facts.a * sign
+        p = 1 - left / facts.n
+        low2, high2 = rows.agg(F.percentile_approx("x", [max(0.0, p - 0.002), min(1.0, p + 0.002)], 10_000)).first()[0]
+        above = rows.filter(F.col("x") > high2).count()
+        inside = rows.filter((F.col("x") >= low2) & (F.col("x") <= high2)).count()
+        if not above < left <= above + inside or inside == facts.n:
+            # the bracket missed, or can't narrow: values are counted, and a window runs over a row for each
+            counts = rows.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+            run = counts.withColumn("r", F.sum("c").over(Window.orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+            return run.filter(F.col("r") >= left).agg(F.max("x")).first()[0] * sign
+        low, high, left = low2, high2, left - above
+    raise RuntimeError("the selection didn't end")
+
+
 def top_n(df: DataFrame, column: str, n: int, percent: bool = False, bottom: bool = False) -> DataFrame:
-    """Top-10 filter: at least the n (or n percent) largest or smallest values, with ties. The cutoff is one number, found
-    by a top-k or, for percent, by an exact quantile; no global sort of rows."""
-    rows = df.filter(F.col(column).isNotNull())
+    """Top-10 filter: at least the n (or n percent) largest or smallest values, with ties; all if there are fewer."""
     if percent:
-        total = rows.count()
-        n = max(1, int(total * n / 100))
-    key = F.col(column).asc() if bottom else F.col(column).desc()
-    cut = rows.select(column).orderBy(key).limit(n).agg((F.max if bottom else F.min)(column).alias("_cut"))
-    joined = df.crossJoin(F.broadcast(cut))  # one row
-    keep = F.col(column) <= F.col("_cut") if bottom else F.col(column) >= F.col("_cut")
-    return joined.filter(keep).drop("_cut")
+        n = max(1, int(df.filter(F.col(column).isNotNull()).count() * n / 100))
+    cut = kth(df, column, int(n), not bottom)
+    if cut is None:
+        return df.filter(F.col(column).isNotNull())
+    return df.filter(F.col(column) <= cut if bottom else F.col(column) >= cut)
 
 
 def values_filter(df: DataFrame, column: str, shown: list[str], blank: bool = False, dates: list[dict] | None = None) -> DataFrame:

@@ -16,15 +16,27 @@ def sort(df: DataFrame, by: list[tuple[str, bool]], order: list[str] | None = No
     return df.orderBy(*[k for c, down in by for k in sort_keys(df, c, down)], *(order or []))
 
 
+#: More rows than this are not held in one task's heap: rows are numbered in sorted ranges instead.
+MOST_TOP = 100_000
+
+
 def take(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """TAKE: the first n rows in order, the last if negative. A top-k, not a global sort."""
+    """TAKE: the first n rows in order, the last if negative. A top-k for small n, not a global sort."""
+    if abs(n) > MOST_TOP:
+        numbered = ranked(df, order, "_at")
+        return numbered.filter(F.col("_at") < n if n > 0 else F.col("_at") >= df.count() + n).orderBy("_at").drop("_at")
     if n >= 0:
         return df.orderBy(*order).limit(n)
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(-n).orderBy(*order)
 
 
 def drop(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """DROP: without the first n rows in order, or the last. The boundary row is found by a top-k and compared with."""
+    """DROP: without the first n rows in order, or the last. Rows of equal order go by number, not together."""
+    if not n:
+        return df
+    if abs(n) > MOST_TOP or df.select(*order).groupBy(*order).count().filter("count > 1").limit(1).count():
+        numbered = ranked(df, order, "_at")
+        return numbered.filter(F.col("_at") >= n if n > 0 else F.col("_at") < df.count() + n).drop("_at")
     edge = df.select(F.struct(*order).alias("_e")).orderBy(F.col("_e").asc() if n >= 0 else F.col("_e").desc()).limit(abs(n)).agg((F.max if n >= 0 else F.min)("_e").alias("_e"))
     row = F.struct(*order)
     return df.crossJoin(F.broadcast(edge)).filter(row > F.col("_e") if n >= 0 else row < F.col("_e")).drop("_e")  # one row

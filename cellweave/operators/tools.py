@@ -110,10 +110,13 @@ def flags(df: DataFrame, column: str, rule: str, n: float | None = None) -> Data
     if rule == "blank":
         return df.withColumn("flag", c.isNull() | (F.trim(c.cast("string")) == ""))
     if rule in ("top", "bottom", "topPercent"):
-        from .criteria import top_n
+        from .criteria import kth
 
-        cut = top_n(df.select(column), column, int(n), rule == "topPercent", rule == "bottom").agg((F.max if rule == "bottom" else F.min)(column).alias("_cut"))
-        return df.crossJoin(F.broadcast(cut)).withColumn("flag", F.coalesce(c <= F.col("_cut") if rule == "bottom" else c >= F.col("_cut"), F.lit(False))).drop("_cut")  # one row
+        if rule == "topPercent":
+            n = max(1, int(df.filter(c.isNotNull()).count() * n / 100))
+        cut = kth(df, column, int(n), rule != "bottom")
+        hit = c.isNotNull() if cut is None else c <= cut if rule == "bottom" else c >= cut
+        return df.withColumn("flag", F.coalesce(hit, F.lit(False)))
     facts = F.broadcast(df.agg(F.avg(c).alias("_a"), F.min(c).alias("_lo"), F.max(c).alias("_hi")))  # one row
     share = F.try_divide(c - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     out = {"aboveAverage": c > F.col("_a"), "belowAverage": c < F.col("_a"), "scale": share, "icon3": F.when(share >= 0.67, 3).when(share >= 0.33, 2).otherwise(1)}[rule]

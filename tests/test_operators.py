@@ -74,6 +74,29 @@ def test_criteria_and_duplicates(spark):
     assert sorted(r.i for r in criteria.top_n(df, "s", 1).collect()) == [2]
 
 
+def test_kth_by_selection(spark, monkeypatch):
+    """Narrowing brackets finds what sorting finds, also among ties."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 1000).cast("double").alias("v"))
+    values = sorted((r.v for r in df.collect()), reverse=True)
+    monkeypatch.setattr(criteria, "MOST_TOP", 20)
+    for k in (1, 20, 21, 500, 2500, 4999, 5000):
+        assert criteria.kth(df, "v", k) == values[k - 1]
+        assert criteria.kth(df, "v", k, False) == values[-k]
+    assert criteria.kth(df, "v", 5001) is None
+    same = spark.range(300).select(F.lit(4.0).alias("v"))
+    assert criteria.kth(same, "v", 100) == 4.0
+
+
+def test_long_slices(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id % 5 as k", "id")
+    monkeypatch.setattr(reshape, "MOST_TOP", 3)
+    assert [r.id for r in reshape.take(df, 6, ["k", "id"]).collect()] == [0, 5, 10, 15, 20, 25]
+    assert [r.id for r in reshape.take(df, -4, ["id"]).collect()] == [46, 47, 48, 49]
+    assert reshape.drop(df, 6, ["k"]).count() == 44 and reshape.drop(df, -6, ["id"]).count() == 44
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "k string, v double")
     assert rows(groups.groupby(df, ["k"], ["v"])) == []
