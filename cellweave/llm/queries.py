@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
