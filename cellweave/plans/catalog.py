@@ -506,3 +506,139 @@ def flash_fill(spark, d):
 def tumbling(spark, d):
     out = read(spark, d, "events").groupBy(F.window(F.col("ts"), "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+# More formulas per row.
+def _formulas(name: str, table: str, keys: str, sql: str, digits: dict | None = None, **formulas: str) -> None:
+    """A query of one table with a column for each formula."""
+
+    @query(name, sql)
+    def body(spark, d):
+        df = read(spark, d, table)
+        for n, f in formulas.items():
+            df = with_column(df, n, f, table)
+        df = df.select(*keys.split(), *formulas)
+        return df.withColumns({n: F.round(n, k) for n, k in (digits or {}).items()})
+
+
+_formulas("formula_operators", "part", "p_partkey", "SELECT p_partkey, -CAST(p_size AS DOUBLE) AS a, p_size / 100.0 AS b, CAST(p_size AS DOUBLE) ** 2 AS c, p_brand || '/' || p_size AS d, upper(p_name) < 'M' AS e, p_size <> 10 AS f FROM part", a="=-[@p_size]", b="=[@p_size]%", c="=[@p_size]^2", d='=[@p_brand]&"/"&[@p_size]', e='=[@p_name]<"m"', f="=[@p_size]<>10")
+_formulas("formula_logic", "orders", "o_orderkey", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS a, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'small' END AS b, (o_orderstatus = 'F') <> (o_totalprice > 100000) AS c, NOT (o_orderstatus = 'F' OR o_totalprice < 1000) AS d FROM orders", a='=SWITCH([@o_orderstatus],"f","done","o","open","other")', b='=IFS([@o_totalprice]>200000,"big",[@o_totalprice]>50000,"mid",TRUE,"small")', c='=XOR([@o_orderstatus]="F",[@o_totalprice]>100000)', d='=NOT(OR([@o_orderstatus]="F",[@o_totalprice]<1000))')
+_formulas("formula_let", "lineitem", "l_orderkey l_linenumber", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 8) AS gross FROM lineitem", {"gross": 8}, gross="=LET(net,[@l_extendedprice]*(1-[@l_discount]),net*(1+[@l_tax]))")
+_formulas("formula_information", "part", "p_partkey", "SELECT p_partkey, p_size IS NULL AS a, true AS b, true AS c, p_size = 0 AS d, p_size % 2 = 0 AS e FROM part", a="=ISBLANK([@p_size])", b="=ISNUMBER([@p_size])", c="=ISTEXT([@p_name])", d="=ISERROR(1/[@p_size])", e="=ISEVEN([@p_size])")
+_formulas("math_functions", "part", "p_partkey", "SELECT p_partkey, p_retailprice - 7 * floor(p_retailprice / 7) AS a, floor(p_retailprice) AS b, round(sqrt(p_retailprice), 8) AS c, round(ln(p_retailprice), 8) AS d, floor(p_retailprice / 10 + 0.5) * 10 AS e, ceil(p_retailprice / 25) * 25 AS f, round(sin(p_size), 8) AS g FROM part", {"a": 4, "c": 8, "d": 8, "g": 8}, a="=MOD([@p_retailprice],7)", b="=INT([@p_retailprice])", c="=SQRT([@p_retailprice])", d="=LN([@p_retailprice])", e="=ROUND([@p_retailprice],-1)", f="=CEILING([@p_retailprice],25)", g="=SIN([@p_size])")
+_formulas("base_and_bits", "part", "p_partkey", "SELECT p_partkey, printf('%X', p_partkey) AS a, CAST(p_partkey & 12 AS DOUBLE) AS b, CAST(xor(p_partkey, 5) AS DOUBLE) AS c, bin(p_partkey % 256) AS d FROM part", a="=DEC2HEX([@p_partkey])", b="=BITAND([@p_partkey],12)", c="=BITXOR([@p_partkey],5)", d="=BASE(MOD([@p_partkey],256),2)")
+_formulas("text_find_mid", "part", "p_partkey", "SELECT p_partkey, substr(p_name, 2, 3) AS a, right(p_name, 2) AS b, CASE WHEN strpos(upper(p_name), 'E') > 0 THEN CAST(strpos(upper(p_name), 'E') AS DOUBLE) ELSE 0 END AS c, CASE WHEN strpos(p_name, ' ') > 0 THEN substr(p_name, 1, strpos(p_name, ' ') - 1) ELSE p_name END AS d, regexp_replace(p_name, '[aeiou]', '*', 'g') AS e, repeat(left(p_name, 1), 3) AS f FROM part", a="=MID([@p_name],2,3)", b="=RIGHT([@p_name],2)", c='=IFERROR(SEARCH("e",[@p_name]),0)', d='=IFERROR(TEXTBEFORE([@p_name]," "),[@p_name])', e='=REGEXREPLACE([@p_name],"[aeiou]","*")', f="=REPT(LEFT([@p_name]),3)")
+
+@query("text_format", "SELECT p_partkey, format('{:,.2f}', p_retailprice) AS a, printf('%05d', p_size) AS b FROM part")
+def text_format(spark, d):
+    p = read(spark, d, "part")
+    for n, f in (("a", '=TEXT([@p_retailprice],"#,##0.00")'), ("b", '=TEXT([@p_size],"00000")')):
+        p = with_column(p, n, f)
+    return p.select("p_partkey", "a", "b")
+
+
+@query("dates_between", "SELECT o_orderkey, CAST(date_sub('month', DATE '1990-01-15', CAST(o_orderdate AS DATE)) AS DOUBLE) AS m, CAST(date_diff('day', DATE '1990-01-15', CAST(o_orderdate AS DATE)) AS DOUBLE) AS dd, CAST(isodow(o_orderdate) AS DOUBLE) AS wd, CAST(weekofyear(o_orderdate) AS DOUBLE) AS wk FROM orders")
+def dates_between(spark, d):
+    o = read(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    for n, f in (("m", '=DATEDIF(DATE(1990,1,15),[@day],"m")'), ("dd", "=DAYS([@day],DATE(1990,1,15))"), ("wd", "=WEEKDAY([@day],2)"), ("wk", "=ISOWEEKNUM([@day])")):
+        o = with_column(o, n, f)
+    return o.select("o_orderkey", "m", "dd", "wd", "wk")
+
+
+@query("clock_functions", "SELECT event_id, CAST(hour(ts) AS DOUBLE) AS h, CAST(minute(ts) AS DOUBLE) AS mi, CAST(second(ts) AS DOUBLE) AS s FROM events")
+def clock_functions(spark, d):
+    e = read(spark, d, "events")
+    for n, f in (("h", "=HOUR([@ts])"), ("mi", "=MINUTE([@ts])"), ("s", "=SECOND([@ts])")):
+        e = with_column(e, n, f)
+    return e.select("event_id", "h", "mi", "s")
+
+
+_formulas("finance_functions", "customer", "c_custkey", "SELECT c_custkey, round(-(c_acctbal * power(1.02, 10)), 4) AS fv, round((1000 - c_acctbal) / 5, 4) AS sln, round(power(1 + 0.06 / 12, 12) - 1, 10) AS eff FROM customer", {"fv": 4, "sln": 4, "eff": 10}, fv="=FV(0.02,10,0,[@c_acctbal])", sln="=SLN(1000,[@c_acctbal],5)", eff="=EFFECT(0.06,12)")
+
+
+# More aggregates.
+@query("moments", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS s, round(var_pop(l_quantity), 6) AS v, min(l_quantity) AS lo, max(l_quantity) AS hi, median(l_quantity) AS med, CAST(count(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def moments(spark, d):
+    q = F.col("l_quantity")
+    out = read(spark, d, "lineitem").groupBy("l_returnflag").agg(groups.measure("STDEV.S", q).alias("s"), groups.measure("VAR.P", q).alias("v"), groups.measure("MIN", q).alias("lo"), groups.measure("MAX", q).alias("hi"), groups.measure("MEDIAN", q).alias("med"), groups.measure("COUNT", q).alias("n"))
+    return rounded(out, "s", "v", digits=6)
+
+
+@query("sumproduct", "SELECT round(sum(l_quantity * l_discount), 4) AS value FROM lineitem")
+def sumproduct(spark, d):
+    return rounded(with_column(read(spark, d, "lineitem"), "p", "=[@l_quantity]*[@l_discount]").agg(F.sum("p").alias("value")), "value", digits=4)
+
+
+@query("large_small", "SELECT (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 9) AS large10, (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET 4) AS small5")
+def large_small(spark, d):
+    o = read(spark, d, "orders")
+    return spark.createDataFrame([(criteria.kth(o, "o_totalprice", 10), criteria.kth(o, "o_totalprice", 5, False))], "large10 double, small5 double")
+
+
+@query("mode_mult", "WITH c AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1) SELECT p_size FROM c WHERE n = (SELECT max(n) FROM c) AND n > 1")
+def mode_mult(spark, d):
+    return stats.mode_mult(read(spark, d, "part"), "p_size")
+
+
+@query("database_family", "SELECT CAST(count(*) AS BIGINT) AS dcount, round(avg(o_totalprice), 4) AS daverage, max(o_totalprice) AS dmax FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 1000")
+def database_family(spark, d):
+    o, rule = read(spark, d, "orders"), [{"o_orderstatus": "=F", "o_totalprice": ">=1000"}]
+    one = lambda f, n: criteria.database(o, "o_totalprice", f, rule).withColumnRenamed("value", n)
+    return rounded(one("DCOUNT", "dcount").crossJoin(one("DAVERAGE", "daverage")).crossJoin(one("DMAX", "dmax")), "daverage", digits=4)
+
+
+@query("textjoin_by_group", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+def textjoin_by_group(spark, d):
+    packed = F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(packed, lambda x: x["n_name"]), ", ").alias("names"))
+
+
+@query("groupby_lambda_range", "SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS value FROM customer GROUP BY 1")
+def groupby_lambda_range(spark, d):
+    return groups.groupby_lambda(read(spark, d, "customer"), ["c_mktsegment"], "c_acctbal", "LAMBDA(v,MAX(v)-MIN(v))")
+
+
+@query("set_operations", "SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def set_operations(spark, d):
+    o = read(spark, d, "orders")
+    return reshape.intersect(o.filter("o_orderstatus = 'F'").select("o_custkey"), o.filter("o_orderstatus = 'O'").select("o_custkey"))
+
+
+@query("session_windows", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM events), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, sid")
+def session_windows(spark, d):
+    from ..streaming.recalc import sessions
+
+    return sessions(read(spark, d, "events"), "ts", "user_id", "6 hours").select("user_id", "start", "n")
+
+
+@query("recalculation_waves", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 8) AS net, round(l_extendedprice * (1 - l_discount) * l_tax, 8) AS tax, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 8) AS gross FROM lineitem")
+def recalculation_waves(spark, d):
+    from ..streaming.recalc import Model
+
+    m = Model({"gross": "=[@net]+[@tax]", "tax": "=[@net]*[@l_tax]", "net": "=[@l_extendedprice]*(1-[@l_discount])"})
+    return rounded(m.recalculate(read(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", "net", "tax", "gross"), "net", "tax", "gross", digits=8)
+
+
+@query("goal_seek", "SELECT round(1 - 1000000.0 / sum(l_extendedprice), 6) AS discount FROM lineitem")
+def goal_seek(spark, d):
+    total = read(spark, d, "lineitem").agg(F.sum("l_extendedprice")).first()[0]
+    return spark.createDataFrame([(round(tools.goal_seek(lambda x: total * (1 - x), 1_000_000.0), 6),)], "discount double")
+
+
+@query("forecast_ets")
+def forecast_ets(spark, d):
+    import pandas as pd
+
+    daily = read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("v")).select("event_type", F.datediff("day", F.lit("2000-01-01").cast("date")).cast("double").alias("t"), "v")
+
+    def one(key, rows):
+        from ..functions.values import Arr, Err
+        from .evaluator import Evaluator
+        from ..functions.registry import TABLE
+
+        rows = rows.sort_values("t")
+        pack = lambda s: Arr([[float(v)] for v in s])
+        out = Evaluator().call(TABLE["FORECAST.ETS"], [float(rows.t.max()) + 1, pack(rows.v), pack(rows.t)], {})
+        return pd.DataFrame({"event_type": [key[0]], "forecast": [None if isinstance(out, Err) else round(float(out), 6)]})
+
+    return daily.groupBy("event_type").applyInPandas(one, "event_type string, forecast double")
