@@ -68,10 +68,11 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_for(df: DataFrame, each: int = 8 << 20) -> int:
-    """Partitions for a shuffle of df's rows: they grow with the input, so that a task's share doesn't."""
+def parts_for(df: DataFrame, each: int = 8 << 20, most: int = 1_000_000) -> int:
+    """Shards for a shuffle of df's rows: they grow with the input, so that a task's share doesn't, up to `most` (at 100
+    TB a shard is then some 100 MB of files; tasks take several shards one after the other)."""
     held = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(held, -(-min(plan_bytes(df), 1 << 50) // each)), 200_000))
+    return int(min(max(held, -(-min(plan_bytes(df), 1 << 50) // each)), most))
 
 
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:

@@ -76,6 +76,8 @@ def pieces(width: int, shards: int, buckets: int):
         out += [(b % shards, LOST, c, d) for b, c, d in by_bucket(lost, lost_doc, buckets)]
         return batch(out)
 
+    most = max(PIECE_WINDOWS, 4 * shards)  # a piece should have some windows for each shard
+
     def run(batches):
         codes, docs, held = [], [], 0
         for ids, texts in chunks(batches):
@@ -85,7 +87,7 @@ def pieces(width: int, shards: int, buckets: int):
                 codes.append(code)
                 docs.append(np.array(ids, np.int64)[owner])
                 held += len(code)
-            if held >= PIECE_WINDOWS:
+            if held >= most:
                 yield flush(codes, docs)
                 codes, docs, held = [], [], 0
         if held:

@@ -126,6 +126,8 @@ def anchors(length: int, shards: int, buckets: int, most: int = 1_500_000):
         code, doc = code[order], doc[order]
         return record(out + [(s, SEEN, put_sorted(code[x]), put_ints(doc[x])) for s, x in groups], FOUND)
 
+    most = max(most, 4 * shards)  # a piece should have some anchors for each shard
+
     def run(batches):
         codes, docs, held = [], [], 0
         for ids, texts in chunks(batches):

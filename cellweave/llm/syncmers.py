@@ -80,7 +80,7 @@ def range_of(value: Column, cuts: list[int]) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) and next, the text of the next document in descending order of doc_id, null ids last (of
     equal ids the greater text comes first); after the last comes the first."""
-    parts = parts_for(docs)
+    parts = parts_for(docs, most=100_000)  # the cuts are literals of the plan
     cuts = sorted({int(c) for c in docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts))}) if parts > 1 else []
     dealt = docs.withColumn("range", range_of(F.col("doc_id"), cuts))
     heads = dealt.groupBy("range").agg(F.max("doc_id").alias("head"))  # a row for each range
