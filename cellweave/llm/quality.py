@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents_of, joined, table, word_bounds, word_hashes
+from .common import bounded_batches, chunks, documents_of, joined, slices, table, word_bounds, word_hashes
 
 SLOTS_LOG2 = 17
 SLOTS = 1 << SLOTS_LOG2
@@ -151,13 +151,14 @@ def accepted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, threshold:
     """docs without those that the classifier rejects; columns as they are."""
     values, bias = fitted(docs, labels, most)
     schema = docs.schema
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = b.column(at).cast(pa.binary()).to_pylist()
             texts = [t or b"" for t in texts]
-            got = np.concatenate([scores(texts[a : a + 256], values, bias) for a in range(0, len(texts), 256)]) if texts else np.zeros(0)
+            got = np.concatenate([np.zeros(0), *[scores(texts[part], values, bias) for part in slices(texts)]])
             yield b.filter(pa.array(got >= threshold))
 
     return docs.mapInArrow(run, schema)
