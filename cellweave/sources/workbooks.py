@@ -124,7 +124,7 @@ def read_ods(data: bytes) -> Iterator[Row]:
                 elif kind in ("string", "date", "time"):
                     v = shown or attribute(cell, f"{kind}-value")
                 formula = attribute(cell, "formula")
-                formula = re.sub(r"\[\.?\$?'?([^\].']*)'?\.?([^\]]*)\]", odf_reference, formula.partition("=")[2]) if formula else None
+                formula = re.sub(r"\[([^\]]*)\]", odf_reference, formula.partition("=")[2].replace(";", ",")) if formula else None
                 if v is not None or formula:
                     found += [(c + q + 1, v, formula) for q in range(min(n, 1024))]
                 c += n
@@ -135,8 +135,13 @@ def read_ods(data: bytes) -> Iterator[Row]:
 
 
 def odf_reference(m: re.Match) -> str:
-    sheet, rest = (m[1], m[2]) if m[2] else ("", m[1])
-    return (f"{sheet}!" if sheet else "") + rest.replace(".", "")
+    """[.A1], [.A1:.B2] and [$Sheet.A1] as A1, A1:B2 and Sheet!A1."""
+    sheet, cells = "", []
+    for k, part in enumerate(m[1].split(":")):
+        own, _, cell = part.rpartition(".")
+        cells.append(cell)
+        sheet = own.lstrip("$") if k == 0 else sheet
+    return (f"{sheet}!" if sheet else "") + ":".join(cells)
 
 
 def read_slk(data: bytes) -> Iterator[Row]:
