@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .keys import folded, kind, sort_keys
+from .keys import folded
 
 
 def measure(function: str, c: Column) -> Column:
@@ -22,9 +23,32 @@ def measure(function: str, c: Column) -> Column:
     return table[function]()
 
 
-def shown(df: DataFrame, key: str) -> Column:
-    """A group's label: its least spelling (text keys group without case)."""
-    return F.min(key) if isinstance(kind(df, key), T.StringType) else F.first(key)
+def states(function: str, c: Column, stem: str) -> tuple[list[Column], Callable] | None:
+    """An aggregate in two steps, if it has them: the first step's columns, and the result from these; keep(column) may
+    pick rows of the first step. Two steps let hash aggregation meet the raw rows (a label's least spelling needs a
+    sort), and grouping sets expand groups instead of rows."""
+    x = c.cast("double")
+    s, n = f"{stem}_s", f"{stem}_n"
+    same = lambda v: v
+    table = {
+        "SUM": ([F.sum(x).alias(s)], lambda keep=same: F.coalesce(F.sum(keep(F.col(s))), F.lit(0.0))),
+        "MAX": ([F.max(x).alias(s)], lambda keep=same: F.coalesce(F.max(keep(F.col(s))), F.lit(0.0))),
+        "MIN": ([F.min(x).alias(s)], lambda keep=same: F.coalesce(F.min(keep(F.col(s))), F.lit(0.0))),
+        "COUNT": ([F.count(x).alias(n)], lambda keep=same: F.coalesce(F.sum(keep(F.col(n))), F.lit(0))),
+        "COUNTA": ([F.count(c).alias(n)], lambda keep=same: F.coalesce(F.sum(keep(F.col(n))), F.lit(0))),
+        "AVERAGE": ([F.sum(x).alias(s), F.count(x).alias(n)], lambda keep=same: F.try_divide(F.sum(keep(F.col(s))), F.sum(keep(F.col(n))))),
+    }
+    return table.get(function)
+
+
+def stepped(base: DataFrame, keys: list[str], measures: list[tuple[str, str]]) -> tuple[DataFrame, list]:
+    """base's rows reduced to one per key if all measures (function, column) have two steps, with builders of results; _n
+    counts rows. Otherwise base as it is."""
+    found = [states(f, F.col(c), f"_m{k}") for k, (f, c) in enumerate(measures)]
+    if all(found):
+        return base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[p for parts, _ in found for p in parts]), [final for _, final in found]
+    builders = [(lambda keep=(lambda v: v), f=f, c=c: measure(f, keep(F.col(c)))) for f, c in measures]
+    return base.withColumn("_n", F.lit(1).cast("long")), builders
 
 
 def groupby(df: DataFrame, keys: list[str], values: list[str], function: str = "SUM", depth: int = 1, sort: int | None = None, names: list[str] | None = None) -> DataFrame:
@@ -36,7 +60,8 @@ def groupby(df: DataFrame, keys: list[str], values: list[str], function: str = "
     n = len(keys)
     packs = [f"_k{k}" for k in range(n)]
     base = df.select(*[folded(df, c).alias(p) for c, p in zip(keys, packs, strict=True)], *[F.col(c).cast("string").alias(f"_s{k}") for k, c in enumerate(keys)], *[F.col(v).alias(f"_v{k}") for k, v in enumerate(values)])
-    aggregates = [measure(function, F.col(f"_v{k}")).alias(v) for k, v in enumerate(names)]
+    base, finals = stepped(base, [*packs, *[f"_s{k}" for k in range(n)]], [(function, f"_v{k}") for k in range(len(values))])
+    aggregates = [final().alias(v) for final, v in zip(finals, names, strict=True)]
     labels = [F.min(f"_s{k}").alias(f"_l{k}") for k in range(n)]
     sets = [packs] + [packs[:k] for k in range(n - 1, 0, -1) if k < abs(depth)] + ([[]] if depth else [])
     out = base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in packs]).agg(F.grouping_id(*packs).alias("_g"), *aggregates, *labels)
@@ -69,14 +94,14 @@ def pivotby(df: DataFrame, rows: list[str], column: str, value: str, function: s
         items = [r[0] for r in df.select(key.cast("string").alias("i")).distinct().orderBy("i").limit(10_001).collect()]
         if len(items) > 10_000:
             raise ValueError("more than 10,000 column items")
-    base = df.select(*[F.col(c) for c in rows], *[folded(df, c).alias(f"_k{k}") for k, c in enumerate(rows)], key.cast("string").alias("_c"), F.col(value).alias("_v"))
+    base = df.select(*[F.col(c).cast("string").alias(f"_s{k}") for k, c in enumerate(rows)], *[folded(df, c).alias(f"_k{k}") for k, c in enumerate(rows)], key.cast("string").alias("_c"), F.col(value).alias("_v"))
     packs = [f"_k{k}" for k in range(len(rows))]
+    base, (final,) = stepped(base, [*packs, *[f"_s{k}" for k in range(len(rows))], "_c"], [(function, "_v")])
     named = [(i, i if i is not None else "(blank)") for i in items]
-    cell = lambda i: measure(function, F.when(F.col("_c").eqNullSafe(F.lit(i)), F.col("_v")))
-    there = lambda i: F.count(F.when(F.col("_c").eqNullSafe(F.lit(i)), F.lit(1)))
-    columns = [F.when(there(i) > 0, cell(i)).alias(n) for i, n in named]
-    columns += [measure(function, F.col("_v")).alias("Total")] if totals else []
-    labels = [F.min(F.col(c).cast("string")).alias(f"_l{k}") for k, c in enumerate(rows)]
+    own = lambda i: lambda v: F.when(F.col("_c").eqNullSafe(F.lit(i)), v)
+    columns = [F.when(F.sum(own(i)(F.col("_n"))) > 0, final(own(i))).alias(n) for i, n in named]
+    columns += [final().alias("Total")] if totals else []
+    labels = [F.min(f"_s{k}").alias(f"_l{k}") for k in range(len(rows))]
     sets = [packs] + ([[]] if totals else [])
     out = base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(p) for p in packs]).agg(F.grouping_id(*packs).alias("_g"), *columns, *labels)
     pick = [(F.when(F.col("_g") > 0, F.lit("Total") if k == 0 else F.lit(None).cast("string")).otherwise(F.col(f"_l{k}"))).alias(c) for k, c in enumerate(rows)]
@@ -96,7 +121,8 @@ def refresh_pivot(df: DataFrame, rows: list[str], columns: list[str], data: list
     nr = len(rows)
     depths = lambda n: [n] + ([k for k in range(n - 1, 0, -1)] if subtotals else []) + ([0] if grand and n else [])
     sets = [[*packs[:a], *packs[nr : nr + b]] for a in depths(nr) for b in depths(len(columns))]
-    aggregates = [measure(f, F.col(f"_v{k}")).alias(f"{f} of {c}") for k, (c, f) in enumerate(data)]
+    base, finals = stepped(base, [*packs, *[f"_s{k}" for k in range(len(fields))]], [(f, f"_v{k}") for k, (_, f) in enumerate(data)])
+    aggregates = [final().alias(f"{f} of {c}") for final, (c, f) in zip(finals, data, strict=True)]
     out = base.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(p) for p in packs]).agg(F.grouping_id(*packs).alias("_g"), *aggregates, *[F.min(f"_s{k}").alias(f"_l{k}") for k in range(len(fields))])
     held = [F.col("_g").bitwiseAND(F.lit(1 << (len(fields) - 1 - k))) == 0 for k in range(len(fields))]
     total = lambda flags: sum((f.cast("int") for f in flags), F.lit(0))
@@ -159,5 +185,3 @@ def groupby_lambda(df: DataFrame, keys: list[str], value: str, formula: str, nam
     run.__annotations__ = {"values": pd.Series, "return": float}
     return df.groupBy(*keys).agg(pandas_udf(run, "double")(F.col(value).cast("double")).alias(name))
 
-
-assert sort_keys
