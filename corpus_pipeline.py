@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.llm import decontaminate, packing, pii, quality, simhash
+from cellweave.llm import decontaminate, near_copies, packing, pii, quality
 from cellweave.llm.common import Workspace, table
 
 
@@ -17,8 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least doc_id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near-duplicates, alike in 0.8 or more of their shingles of five words, the document of least
+    doc_id stays."""
+    return near_copies.one_of_each(docs, width=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
