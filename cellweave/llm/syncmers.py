@@ -2,9 +2,9 @@
 
 A text's words (cut into pieces of at most 12 characters) are hashed. Of every k words in a row, the k-mer, it is asked
 whether its least inner word lies at its first or last place: then it is a closed syncmer, which depends on nothing
-outside it, so the same passage gives the same anchors in any text. A fingerprint holds the `size` anchors of least hash
-with their positions. Two are compared by position: anchors of equal hash count if their shift agrees with the median
-shift; likeness is the share of anchors matched, estimated over the least hashes of both.
+outside it, so the same passage gives the same anchors in any text. A fingerprint holds all of them, each hash at its
+first place. Two are compared by position: anchors of equal hash count if their shift agrees with the median shift;
+likeness is the share of anchors matched.
 
 Scale: one shuffle of the texts by ranges of doc_id, which also brings each document's neighbour (the first document of
 a range is a guest at the end of the one above it); no row meets all others. All of it is DataFrame expressions.
@@ -21,8 +21,8 @@ from .native import hashed, let, up_to
 PIECE = "[^\\x20\\x09-\\x0D]{1,12}"
 
 
-def anchors(text: Column, k: int, size: int) -> Column:
-    """The `size` closed syncmers of least hash, as structs (h, p) in order of h, each hash once at its first place. A
+def anchors(text: Column, k: int) -> Column:
+    """The closed syncmers, as structs (h, p) in order of h, each hash once at its first place. A
     text of fewer than k pieces has one anchor for each."""
 
     def of(h: Column) -> Column:
@@ -31,10 +31,10 @@ def anchors(text: Column, k: int, size: int) -> Column:
         few = F.transform(h, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("p")))
         return F.when(F.size(h) >= k, F.transform(closed, lambda x: F.struct(F.xxhash64(x["w"]).alias("h"), x["p"].alias("p")))).otherwise(few)
 
-    def least(found: Column) -> Column:
-        return let(F.sort_array(found), lambda s: F.slice(F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["h"] != x["h"])), 1, size))
+    def firsts(found: Column) -> Column:
+        return let(F.sort_array(found), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["h"] != x["h"])))
 
-    return let(hashed(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))), lambda h: let(of(h), least))
+    return let(hashed(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))), lambda h: let(of(h), firsts))
 
 
 def written(found: Column) -> Column:
@@ -42,23 +42,22 @@ def written(found: Column) -> Column:
     return F.concat_ws(" ", F.transform(found, lambda x: F.concat(F.lower(F.lpad(F.hex(x["h"]), 16, "0")), F.lit("@"), F.lower(F.hex(x["p"])))))
 
 
-def likeness(a: Column, b: Column, size: int, slack: int = 32) -> Column:
-    """From 0 to 1: of the least `size` hashes of both, those that both hold at places whose shift is the usual one, as
-    Dice's share. Two empty fingerprints are alike."""
+def likeness(a: Column, b: Column, slack: int = 32) -> Column:
+    """From 0 to 1: the hashes that both hold at places whose shift is the usual one, as Dice's share of all hashes of
+    both. Two empty fingerprints are alike. Equal hashes lie side by side once both are sorted together."""
 
-    def shares(common: Column, pa: Column, pb: Column, whole: Column) -> Column:
-        def near(shifts: Column) -> Column:
-            usual = F.get(F.sort_array(shifts), F.floor(F.size(shifts) / 2).cast("int"))
-            n = let(usual, lambda u: F.size(F.filter(shifts, lambda s: F.abs(s - u) <= slack)))
-            return F.when(F.size(shifts) == 0, F.lit(0.0)).otherwise(2.0 * n / (n + F.size(whole)))
+    def near(shifts: Column, whole: Column) -> Column:
+        usual = F.get(F.sort_array(shifts), F.floor(F.size(shifts) / 2).cast("int"))
+        n = let(usual, lambda u: F.size(F.filter(shifts, lambda s: F.abs(s - u) <= slack)))
+        return F.when(F.size(shifts) == 0, F.lit(0.0)).otherwise(2.0 * n / (n + whole))
 
-        return let(F.transform(common, lambda h: F.element_at(pb, h) - F.element_at(pa, h)), near)
+    def shifts(both: Column) -> Column:
+        twice = F.filter(up_to(F.size(both)), lambda i: (i > 0) & (F.get(both, i)["h"] == F.get(both, i - 1)["h"]))
+        return F.transform(twice, lambda i: F.get(both, i)["p"] - F.get(both, i - 1)["p"])
 
-    ha, hb = F.transform(a, lambda x: x["h"]), F.transform(b, lambda x: x["h"])
-    mapped = lambda x: F.map_from_entries(x)
-    whole = F.slice(F.sort_array(F.array_union(ha, hb)), 1, size)
-    common = F.array_intersect(F.array_intersect(ha, hb), whole)
-    part = let(F.struct(common.alias("c"), mapped(a).alias("a"), mapped(b).alias("b"), whole.alias("w")), lambda s: shares(s["c"], s["a"], s["b"], s["w"]))
+    sided = lambda x, side: F.transform(x, lambda y: F.struct(y["h"].alias("h"), F.lit(side).alias("s"), y["p"].alias("p")))
+    both = F.sort_array(F.concat(sided(a, 0), sided(b, 1)))
+    part = let(let(both, shifts), lambda s: near(s, F.size(a) + F.size(b) - F.size(s)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(part)
 
 
@@ -94,7 +93,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.withColumn("next", F.lead("text").over(order)).filter(~F.col("guest")).select("doc_id", "text", "next")
 
 
-def fingerprinted(docs: DataFrame, k: int = 5, size: int = 64) -> DataFrame:
+def fingerprinted(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     Null text: empty, which has an empty fingerprint. Null doc_id: after all others. Repeated rows follow each other.
@@ -104,10 +103,10 @@ def fingerprinted(docs: DataFrame, k: int = 5, size: int = 64) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next", F.lit(1), cut))
     rows = rows.select("doc_id", "n_chars", "text", "next", edited.alias("edited"))
-    found = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text"), k, size).alias("own"), anchors(F.col("edited"), k, size).alias("changed"), anchors(F.col("next"), k, size).alias("following"))
+    found = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text"), k).alias("own"), anchors(F.col("edited"), k).alias("changed"), anchors(F.col("next"), k).alias("following"))
     own, changed, following = F.col("own"), F.col("changed"), F.col("following")
-    return found.select("doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(changed).alias("edited_fingerprint"), likeness(own, changed, size).alias("near_edited"), likeness(own, following, size).alias("near_next"))
+    return found.select("doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(changed).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"))
 
 
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprinted(table(spark, sf_dir, "documents"), k=5, size=64)
+    return fingerprinted(table(spark, sf_dir, "documents"), k=5)
