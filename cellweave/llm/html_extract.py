@@ -25,8 +25,8 @@ from .common import bounded_batches, table
 
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not text of the page.
-HIDDEN = frozenset("script style noscript template title svg math iframe object canvas audio video head".split())
+#: Elements whose content is not text of the page and holds no tags.
+HIDDEN = frozenset("script style title".split())
 #: Elements that end when another of the kinds named opens.
 ENDS = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
@@ -39,8 +39,9 @@ def slot(token: str, n: int) -> int:
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, tokens of the tag path, share of linked characters) of every leaf block with text, in page order."""
-    out, stack, parts = [], [], []
+    """(text, distinct tokens of the whole tag path, share of linked characters) of every leaf block with text, in page
+    order."""
+    out, stack, parts, within = [], [], [], {}
     linked = anchor = 0
 
     def flush() -> None:
@@ -48,11 +49,16 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = [t for _, tokens in stack[-6:] for t in tokens] + [f"d{min(len(stack), 12)}"]
-                out.append((text, tuple(path), min(1.0, linked / max(1, len(text)))))
+                out.append((text, (*within, f"d{min(len(stack), 12)}"), min(1.0, linked / max(1, len(text)))))
             parts.clear()
         linked = 0
 
+    def leave(tokens: list[str]) -> None:
+        for t in tokens:
+            within[t] -= 1
+            if not within[t]:
+                del within[t]
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -74,7 +80,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 if name in BLOCK:
                     flush()
                 while True:
-                    tag, _ = stack.pop()
+                    tag, tokens = stack.pop()
+                    leave(tokens)
                     anchor -= tag == "a"
                     if tag == name:
                         break
@@ -82,15 +89,16 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 flush()
             continue
         attributes = m[3] or m[6] or ""
-        if name in HIDDEN and name != "head" and not attributes.endswith("/"):
+        if name in HIDDEN and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            at = end.end() if end else at if name == "title" else n
             continue
         if name in BLOCK:
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if name in ENDS.get(stack[k][0], ()):
-                    for tag, _ in stack[k:]:
+                    for tag, tokens in stack[k:]:
+                        leave(tokens)
                         anchor -= tag == "a"
                     del stack[k:]
                     break
@@ -101,6 +109,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if name not in VOID and not attributes.endswith("/"):
             tokens = [name] + [f".{w.lower()}" for g in NAMED.findall(attributes) for w in re.findall(r"[a-zA-Z]+", "".join(g))]
             stack.append((name, tokens))
+            for t in tokens:
+                within[t] = within.get(t, 0) + 1
             anchor += name == "a"
     flush()
     return out
