@@ -440,6 +440,12 @@ def networkdays(spark, d):
     return with_column(o, "days", "=NETWORKDAYS([@day],[@day]+29)").select("o_orderkey", "days")
 
 
+@query("networkdays_all", "SELECT o_orderkey, CAST(20 + CAST(isodow(CAST(o_orderdate AS DATE)) < 6 AS INTEGER) + CAST(isodow(CAST(o_orderdate AS DATE) + 1) < 6 AS INTEGER) AS DOUBLE) AS days FROM orders")
+def networkdays_all(spark, d):
+    o = read(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    return with_column(o, "days", "=NETWORKDAYS([@day],[@day]+29)").select("o_orderkey", "days")
+
+
 @query("pmt_schedule", "SELECT c_custkey, round(CASE WHEN c_acctbal = 0 THEN 0 ELSE -(c_acctbal * power(1.01, 24)) / ((power(1.01, 24) - 1) / 0.01) END, 6) AS pmt FROM customer")
 def pmt_schedule(spark, d):
     return rounded(with_column(read(spark, d, "customer"), "pmt", "=PMT(0.01,24,[@c_acctbal])").select("c_custkey", "pmt"), "pmt", digits=6)
