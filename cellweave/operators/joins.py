@@ -84,14 +84,15 @@ def binary_search(items: Column, x: Column, strict: bool = False) -> Column:
 
 
 def wildcard_lookup(df: DataFrame, pattern: str, table: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
-    """MATCH 0 and XLOOKUP 2 with * and ?: the first table row, by order, whose text the pattern matches. A theta join,
-    so the side of patterns is meant to be small and is broadcast only if counted so."""
+    """MATCH 0 and XLOOKUP 2 with * and ?: the first table row, by order, whose text the pattern matches. A theta join of
+    distinct patterns, broadcast only if counted to be few, with the first row of each distinct text."""
     p = F.col(pattern)
-    quoted = F.regexp_replace(p, r"([.\\+^$()\[\]{}|])", r"\\$1")
+    quoted = F.regexp_replace("_p", r"([.\\+^$()\[\]{}|])", r"\\$1")
     like = F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
-    left = small(df.withColumn("_like", like), 10_000)
-    best = left.join(table.select(F.col(key).alias("_k"), F.struct(order, *values).alias("_row")), F.expr("_k rlike _like"), "left").groupBy(*df.columns).agg(F.min("_row").alias("_row"))
-    return best.select(*df.columns, *[F.col(f"_row.{v}").alias(v) for v in values])
+    left = small(df.select(p.alias("_p")).distinct().withColumn("_like", like), 10_000)
+    firsts = table.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(order, *values)).alias("_row"))
+    best = left.join(firsts, F.expr("_k rlike _like")).groupBy("_p").agg(F.min("_row").alias("_row"))
+    return df.join(best, p == F.col("_p"), "left").select(*df.columns, *[F.col(f"_row.{v}").alias(v) for v in values])
 
 
 def conditional_join(df: DataFrame, keys: dict[str, str], table: DataFrame, measure: str, function: str = "sum") -> DataFrame:

@@ -198,6 +198,14 @@ def wildcard_lookup(spark, d):
     return joins.wildcard_lookup(probes, "pat", keys, "p_type", ["p_brand"], "ord").select("p_partkey", "p_brand")
 
 
+@query("wildcard_lookup_all", "SELECT p_partkey, first_value(p_brand) OVER (PARTITION BY lower(substr(p_type, 1, 2)) ORDER BY p_partkey) AS p_brand FROM part")
+def wildcard_lookup_all(spark, d):
+    parts = read(spark, d, "part")
+    probes = parts.select("p_partkey", F.concat(F.substring("p_type", 1, 2), F.lit("*")).alias("pat"))
+    keys = parts.select("p_type", F.col("p_partkey").alias("ord"), "p_brand")
+    return joins.wildcard_lookup(probes, "pat", keys, "p_type", ["p_brand"], "ord").select("p_partkey", "p_brand")
+
+
 @query(
     "consolidate_labels",
     """WITH u AS (SELECT upper(c_mktsegment) AS k, c_mktsegment AS s, 0 AS n, c_acctbal AS bal FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT upper(c_mktsegment), lower(c_mktsegment), 1, c_acctbal FROM customer WHERE c_custkey % 2 = 1)
