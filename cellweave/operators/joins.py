@@ -63,7 +63,7 @@ def asof(df: DataFrame, needle: str, table: DataFrame, key: str, values: list[st
         return out.select(*df.columns, *[F.col(f"{val}.v.{v}").alias(v) for v in values])
     probes = df.select(*by, F.col(needle).cast("double").alias(at), F.lit(None).cast(keys.schema[val].dataType).alias(val), F.lit(0 if strict else 1).alias(side), F.struct(*df.columns).alias(row))
     both = keys.select(*by, at, val, F.lit(1 if strict else 0).alias(side), F.lit(None).cast(probes.schema[row].dataType).alias(row)).unionByName(probes)
-    order = [F.col(at).desc(), F.col(side)] if following else [F.col(at), F.col(side)]
+    order = [F.col(at).desc() if following else F.col(at), F.col(side), F.col(val)]  # of equal keys the greatest values
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn(val, F.last(val, True).over(w)).filter(F.col(row).isNotNull())
     return out.select(f"{row}.*", *[F.col(f"{val}.{v}").alias(v) for v in values])

@@ -168,6 +168,13 @@ def match_asof(spark, d):
     return joins.asof(probes, "s", keys, "k", ["before_id"], ["user_id"]).select("event_id", "before_id")
 
 
+@query("match_asof_all", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events), k AS (SELECT user_id, s, max(event_id) AS before_id FROM e GROUP BY 1, 2) SELECT e.event_id, k.before_id FROM e ASOF LEFT JOIN k ON e.user_id = k.user_id AND e.s > k.s")
+def match_asof_all(spark, d):
+    e = read(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    keys = e.select("user_id", F.col("s").alias("k"), F.col("event_id").alias("before_id"))
+    return joins.asof(e.select("event_id", "user_id", "s"), "s", keys, "k", ["before_id"], ["user_id"], strict=True).select("event_id", "before_id")
+
+
 @query("fuzzylookup_part_names")
 def fuzzylookup_part_names(spark, d):
     parts = read(spark, d, "part").select("p_partkey", "p_name")
