@@ -23,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own on a single
+    machine, and on a cluster one in the warehouse, never a local one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            held = f"{spark.conf.get('spark.sql.warehouse.dir')}/_cellweave"
+            spark.sparkContext.setCheckpointDir(held)
         at = held or tempfile.mkdtemp(prefix="cellweave-")
         if not held:
             spark.sparkContext.setCheckpointDir(at)
@@ -75,6 +79,13 @@ def parts_for(df: DataFrame, each: int = 8 << 20, most: int = 1_000_000) -> int:
     return int(min(max(held, -(-min(plan_bytes(df), 1 << 50) // each)), most))
 
 
+def prime_from(n: int) -> int:
+    """The least prime of n or more: ids with a common stride still fill all of so many buckets."""
+    while n < 2 or any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """From now on the session's Arrow batches hold at most so many bytes, unless they are set to hold less already:
     Spark's own buffers for them lie outside its heap."""

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 
-def least_labels(nodes: DataFrame, links: DataFrame, space: Workspace, most_rounds: int = 60) -> DataFrame:
+def least_labels(nodes: DataFrame, links: DataFrame, space: Workspace) -> DataFrame:
     """nodes (node, label): unique nodes and the label each brings; links (a, b) in both directions. Returns (node,
     label), label being the least of a node's component. A round takes the least label of the neighbours, then that of
     the node which brought it; sums are per key with partial aggregation, and joins are plain ones that adaptive
-    execution splits where a key is hot. Each round is a table in the shared folder."""
+    execution splits where a key is hot. Each round is a table in the shared folder; rounds go on until no label changes,
+    about as often as the logarithm of the longest path."""
     owner = nodes.select("node", F.col("label").alias("of"))
     now = nodes
-    for k in range(most_rounds):
+    for k in count():
         near = links.join(now.select(F.col("node").alias("b"), F.col("label").alias("got")), "b").groupBy(F.col("a").alias("node")).agg(F.min("got").alias("got"))
         step = now.join(near, "node", "left").select("node", F.least("label", "got").alias("label"), F.col("label").alias("old"))
         # A label names the node that brought it; that node's own label may be less by now.
@@ -28,4 +31,3 @@ def least_labels(nodes: DataFrame, links: DataFrame, space: Workspace, most_roun
             space.remove(f"labels{k - 1}")
         if not changed:
             return now
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")

@@ -1,4 +1,4 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exact to the last pair.
+"""The exact part of the SimHash operator's similarity groups: verification and completion by word shingles.
 
 Two sets of which at least `percent` of the union is common share one of their first shingles in any order that all
 documents keep: of n shingles the first n - ceil(percent * n) + 1 are keys. Documents meet in the buckets of their keys,
@@ -13,6 +13,7 @@ Shingles are 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,8 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return h[order], -order.astype(np.int64)
 
 
-def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, digest (of the whole set), n (its size), keys."""
+def first_keys(docs: DataFrame, width: int, percent: int, fingerprint: Callable[[bytes], int]) -> DataFrame:
+    """doc_id, digest (of the whole set), n (its size), fp (the text's fingerprint), keys."""
     common, rank = common_shingles(docs, width)
 
     def run(batches):
@@ -90,9 +91,9 @@ def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
             sets = shingle_sets(texts, width)
             keys = [keys_of(s, common, rank, percent).view(np.int64) for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array([fingerprint(t) for t in texts], U64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "keys"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, digest binary, n int, keys array<long>")
+    return documents_of(docs).mapInArrow(run, "doc_id long, digest binary, n int, fp long, keys array<long>")
 
 
 def columns(batches) -> list[np.ndarray]:
@@ -172,33 +173,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id and component_id, the smallest doc_id reachable over pairs at least so alike, of documents with an id.
-    Texts without words are equal. Rows that repeat a doc_id with another text are one node."""
+def components(docs: DataFrame, width: int, percent: int, fingerprint: Callable[[bytes], int], close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over pairs at least so alike. close gives, for (doc_id, fp) of
+    one document for each distinct set, the pairs that fingerprints find; they are verified first, and pairs that they
+    connect need not meet again."""
     space = Workspace(docs.sparkSession, "near")
     docs = docs.filter(F.col("doc_id").isNotNull())
-    sets = space.save(first_keys(docs, width, percent), "keys")
-    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node")), "nodes")
-    dealt = sets.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at")
+    sets = space.save(first_keys(docs, width, percent, fingerprint), "keys")
+    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp")), "nodes")
+    dealt = sets.join(nodes.select("digest", F.col("node").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at")
     shards = parts_for(sets)
     rows = space.save(dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int"), "rows")
     met = rows.select(F.col("node").alias("doc_id")).distinct()
     whole = space.save(whole_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), width), "sets")
     links, labels = None, None
-    for k, turn in enumerate((0, 1, None)):
-        now = rows.withColumn("label", F.col("node")) if labels is None else rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
-        pairs = now.repartition(parts_for(rows), "key").mapInArrow(candidates(percent, turn), "a long, b long").distinct()
+    for k, turn in enumerate(("close", 0, None)):
+        if turn == "close":
+            pairs = close(nodes.select(F.col("node").alias("doc_id"), "fp"))
+        else:
+            now = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+            pairs = now.repartition(parts_for(rows), "key").mapInArrow(candidates(percent, turn), "a long, b long").distinct()
         found = space.save(verified(pairs, whole, percent), f"links{k}")
         links = found if links is None else links.union(found)
         both = links.union(links.select("b", "a"))
         ends = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
         labels = space.save(least_labels(space.save(ends, f"ends{k}"), both, space), f"least{k}")
-    held = sets.select("doc_id", "digest").join(nodes, "digest").join(labels, "node", "left")
+    held = sets.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").join(labels, "node", "left")
     return held.select("doc_id", F.coalesce("label", "node").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without documents that a smaller doc_id's component holds; columns as they are. Rows with null doc_id, and
-    rows that repeat a kept doc_id, stay."""
-    found = components(docs, width, percent).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")

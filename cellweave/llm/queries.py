@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
-
-from . import decontaminate, html_extract, packing, pii, quality, simhash, substring_dedup, suffix_dedup, syncmers, url_filter
+from . import decontaminate, html_extract, packing, pii, pipeline, quality, simhash, substring_dedup, suffix_dedup, syncmers, url_filter
 
 
 def queries() -> dict[str, Callable]:
@@ -21,7 +19,7 @@ def queries() -> dict[str, Callable]:
         "op8_pii": pii.op8_pii,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_syncmers": syncmers.op10_syncmers,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

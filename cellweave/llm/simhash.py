@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import U64, Workspace, chunks, documents_of, parts_for, random_words, table
 from .components import least_labels
 
@@ -178,14 +179,20 @@ def bucket_keys(fp, bits: int):
     return F.array(*[F.lit(k << 48) + F.shiftleft(block[x], 24) + block[y] for k, (x, y) in enumerate(combinations(range(len(block)), 2))])
 
 
+def starred(fps: DataFrame, bits: int, n_pivots: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Of fps (doc_id, fp): the distinct fingerprints (node, label: their least doc_id), and links (a, b) from each to the
+    least of a local group within so many bits."""
+    nodes = space.save(fps.filter(F.col("doc_id").isNotNull()).groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("label")), "nodes")
+    dealt = nodes.select(F.explode(bucket_keys(F.col("node"), bits)).alias("key"), F.col("node").alias("fp"))
+    stars = dealt.repartition(parts_for(dealt), "key").mapInArrow(star_links(bits, n_pivots), "a long, b long").distinct()
+    return nodes, space.save(stars, "stars")
+
+
 def components(fps: DataFrame, bits: int = 4, n_pivots: int = 24, space: Workspace | None = None) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at most `bits` differing bits."""
     space = space or Workspace(fps.sparkSession, "simhash")
     fps = space.save(fps, "fps")
-    nodes = space.save(fps.filter(F.col("doc_id").isNotNull()).groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("label")), "nodes")
-    dealt = nodes.select(F.explode(bucket_keys(F.col("node"), bits)).alias("key"), F.col("node").alias("fp"))
-    stars = dealt.repartition(parts_for(dealt), "key").mapInArrow(star_links(bits, n_pivots), "a long, b long").distinct()
-    stars = space.save(stars, "stars")
+    nodes, stars = starred(fps, bits, n_pivots, space)
     links = stars.union(stars.select("b", "a"))
     linked = nodes.join(links.select(F.col("a").alias("node")).distinct(), "node")
     least = least_labels(space.save(linked, "linked"), links, space)
@@ -193,6 +200,14 @@ def components(fps: DataFrame, bits: int = 4, n_pivots: int = 24, space: Workspa
     return fps.join(found, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def close_documents(fps: DataFrame, bits: int = 4, n_pivots: int = 24) -> DataFrame:
+    """Pairs (a, b) of doc_ids that connect all documents of fps (doc_id, fp) whose fingerprints are connected."""
+    nodes, stars = starred(fps, bits, n_pivots, Workspace(fps.sparkSession, "close"))
+    equal = fps.join(nodes, fps["fp"] == nodes["node"]).filter(F.col("label") < F.col("doc_id")).select(F.col("label").alias("a"), F.col("doc_id").alias("b"))
+    one, two = nodes.toDF("a", "x"), nodes.toDF("b", "y")
+    return equal.union(stars.join(one, "a").join(two, "b").select(F.least("x", "y"), F.greatest("x", "y")))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document.
 
@@ -203,10 +218,21 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """docs without documents that a smaller doc_id's component holds; columns as they are. Rows with null doc_id, and
-    rows that repeat a kept doc_id, stay."""
-    found = near_duplicates(docs, width, bits).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 4) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over pairs of documents whose sets of shingles of `width`
+    words have at least so many percent of their union in common; of documents with an id.
+
+    Fingerprints within `bits` bits, found by the pivots' tables, come first and are verified on the sets. Sets alike in
+    80 percent may lie 20 bits apart, where no table of pivots or blocks discards anything, so the links beyond are
+    completed by the shingles themselves (near_copies): none is lost. Null or wordless texts are equal. Rows that repeat
+    a doc_id with another text are one node. Extra columns are ignored."""
+    return near_copies.components(docs, width, percent, lambda t: fingerprint(t, width), lambda fps: close_documents(fps, bits))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 4) -> DataFrame:
+    """docs without documents that a smaller doc_id's group of similar ones holds; columns as they are. Rows with null
+    doc_id, and rows that repeat a kept doc_id, stay."""
+    found = similar(docs, width, percent, bits).filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
 
 

@@ -88,7 +88,7 @@ def test_extraction_of_the_table(spark):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
+    from cellweave.llm import pipeline
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -96,10 +96,10 @@ def test_pipeline(spark):
     from cellweave.llm.common import Workspace
 
     space = Workspace(spark, "test")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         docs = space.save(stage(spark, docs, d), name)
         assert docs.columns == columns
         assert docs.count() <= before
         before = docs.count()
-    pieces = corpus_pipeline.run(spark, d)
+    pieces = pipeline.run(spark, d)
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}

@@ -46,16 +46,16 @@ def texts():
 
 
 def test_stage_links_all_pairs_alike(spark, texts):
-    import corpus_pipeline
+    from cellweave.llm import pipeline
 
     docs = spark.createDataFrame([*texts.items(), (None, "no id")], "doc_id long, text string")
-    kept = [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").select("doc_id").collect()]
+    kept = [r.doc_id for r in pipeline.near_dedup_stage(spark, docs, "").select("doc_id").collect()]
     label = brute(texts)
     assert None in kept and sorted(i for i in kept if i is not None) == sorted(i for i in texts if label[i] == i)
 
 
 def test_components_are_those_of_all_pairs(spark, texts):
-    from cellweave.llm import near_copies
+    from cellweave.llm import simhash
 
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in near_copies.components(docs).collect()} == brute(texts)
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == brute(texts)
