@@ -22,8 +22,13 @@ from pyspark.sql import functions as F
 
 from .common import U64, Workspace, chunks, documents_of, joined, mix, parts_for, random_words, word_bounds, word_hashes
 from .components import least_labels
+from .native import small
 
 SAMPLE, COMMON, SMALL = 4000, 100_000, 64
+MOST_BROADCAST = 1_000_000
+#: Of two sets alike in 80 percent a bit of the fingerprints differs with a chance of 0.19 at most, so more than 28 of 64
+#: differ with a chance of about 1 in 10^6; of unlike sets, four in five are discarded.
+APART = 28
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -82,8 +87,16 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return h[order], -order.astype(np.int64)
 
 
-def first_keys(docs: DataFrame, width: int, percent: int, fingerprint: Callable[[bytes], int]) -> DataFrame:
-    """doc_id, digest (of the whole set), n (its size), fp (the text's fingerprint), keys."""
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set: bit by bit the majority of its hashes; 0 for none."""
+    votes = np.zeros(64, np.int64)
+    for a in range(0, len(own), 1 << 14):
+        votes += np.unpackbits(own[a : a + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(own), bitorder="little").view("<u8")[0])
+
+
+def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, digest (of the whole set), n (its size), fp (its fingerprint), keys."""
     common, rank = common_shingles(docs, width)
 
     def run(batches):
@@ -91,7 +104,8 @@ def first_keys(docs: DataFrame, width: int, percent: int, fingerprint: Callable[
             sets = shingle_sets(texts, width)
             keys = [keys_of(s, common, rank, percent).view(np.int64) for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(np.array([fingerprint(t) for t in texts], U64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "keys"])
+            fps = np.array([fingerprint(s) for s in sets], U64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "keys"])
 
     return documents_of(docs).mapInArrow(run, "doc_id long, digest binary, n int, fp long, keys array<long>")
 
@@ -166,37 +180,45 @@ def candidates(percent: int, turn: int | None):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough."""
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, fps: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike enough. Fingerprints more than APART bits apart are discarded; only
+    the texts of what is left are read again, and only its sets travel, a copy for each pair."""
+    one, two = fps.toDF("a", "x"), fps.toDF("b", "y")
+    near = pairs.join(one, "a").join(two, "b").filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= APART).select("a", "b").distinct()
+    near = small(space.save(near, f"near{name}"), MOST_BROADCAST)  # two numbers a row
+    ends = small(space.save(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ends{name}"), MOST_BROADCAST)
+    sets = space.save(whole_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), width), f"sets{name}")
+    x, y = sets.toDF("a", "x").join(near, "a"), sets.toDF("b", "y").join(near, "b")
     common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
+    alike = x.join(y, ["a", "b"]).filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent)
+    out = space.save(alike.select("a", "b").distinct(), f"links{name}")
+    space.remove(f"sets{name}")
+    return out
 
 
-def components(docs: DataFrame, width: int, percent: int, fingerprint: Callable[[bytes], int], close: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def components(docs: DataFrame, width: int, percent: int, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over pairs at least so alike. close gives, for (doc_id, fp) of
     one document for each distinct set, the pairs that fingerprints find; they are verified first, and pairs that they
     connect need not meet again."""
     space = Workspace(docs.sparkSession, "near")
     docs = docs.filter(F.col("doc_id").isNotNull())
-    sets = space.save(first_keys(docs, width, percent, fingerprint), "keys")
+    sets = space.save(first_keys(docs, width, percent), "keys")
     nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp")), "nodes")
+    fps = nodes.select(F.col("node").alias("doc_id"), "fp")
     dealt = sets.join(nodes.select("digest", F.col("node").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at")
     shards = parts_for(sets)
     rows = space.save(dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int"), "rows")
-    met = rows.select(F.col("node").alias("doc_id")).distinct()
-    whole = space.save(whole_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi"), width), "sets")
     links, labels = None, None
     for k, turn in enumerate(("close", 0, None)):
         if turn == "close":
-            pairs = close(nodes.select(F.col("node").alias("doc_id"), "fp"))
+            pairs = close(fps)
         else:
             now = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
-            pairs = now.repartition(parts_for(rows), "key").mapInArrow(candidates(percent, turn), "a long, b long").distinct()
-        found = space.save(verified(pairs, whole, percent), f"links{k}")
+            pairs = now.repartition(parts_for(rows), "key").mapInArrow(candidates(percent, turn), "a long, b long")
+        found = verified(pairs, docs, width, percent, fps, space, str(k))
         links = found if links is None else links.union(found)
         both = links.union(links.select("b", "a"))
         ends = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-        labels = space.save(least_labels(space.save(ends, f"ends{k}"), both, space), f"least{k}")
+        labels = space.save(least_labels(space.save(ends, f"nodes{k}"), both, space), f"least{k}")
     held = sets.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").join(labels, "node", "left")
     return held.select("doc_id", F.coalesce("label", "node").alias("component_id"))

@@ -222,11 +222,12 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 4) -
     """doc_id and component_id, the smallest doc_id reachable over pairs of documents whose sets of shingles of `width`
     words have at least so many percent of their union in common; of documents with an id.
 
-    Fingerprints within `bits` bits, found by the pivots' tables, come first and are verified on the sets. Sets alike in
-    80 percent may lie 20 bits apart, where no table of pivots or blocks discards anything, so the links beyond are
-    completed by the shingles themselves (near_copies): none is lost. Null or wordless texts are equal. Rows that repeat
+    Fingerprints (of the distinct shingles) within `bits` bits, found by the pivots' tables, come first and are verified
+    on the sets. Sets alike in 80 percent may lie 20 bits apart, where no table of pivots or blocks discards anything, so
+    the links beyond are completed by the shingles themselves (near_copies), which meet, are discarded if their
+    fingerprints lie too far apart for that likeness, and are verified. Null or wordless texts are equal. Rows that repeat
     a doc_id with another text are one node. Extra columns are ignored."""
-    return near_copies.components(docs, width, percent, lambda t: fingerprint(t, width), lambda fps: close_documents(fps, bits))
+    return near_copies.components(docs, width, percent, lambda fps: close_documents(fps, bits))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 4) -> DataFrame:
