@@ -26,9 +26,9 @@ from .native import small
 
 SAMPLE, COMMON, SMALL = 4000, 100_000, 64
 MOST_BROADCAST = 1_000_000
-#: Of two sets alike in 80 percent a bit of the fingerprints differs with a chance of 0.19 at most, so more than 28 of 64
-#: differ with a chance of about 1 in 10^6; of unlike sets, four in five are discarded.
-APART = 28
+#: Of two sets alike in 80 percent a bit of the fingerprints differs with a chance of 0.19 at most, so more than 46 of 128
+#: differ with a chance of about 1 in 10^6; of unlike sets, all but one in a thousand are discarded.
+APART = 46
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -96,7 +96,7 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, digest (of the whole set), n (its size), fp (its fingerprint), keys."""
+    """doc_id, digest (of the whole set), n (its size), fp and more (its fingerprint, 64 bits and another 64), keys."""
     common, rank = common_shingles(docs, width)
 
     def run(batches):
@@ -104,10 +104,11 @@ def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
             sets = shingle_sets(texts, width)
             keys = [keys_of(s, common, rank, percent).view(np.int64) for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            fps = np.array([fingerprint(s) for s in sets], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "keys"])
+            with np.errstate(over="ignore"):
+                fps, more = (np.array([fingerprint(x) for x in y], U64).view(np.int64) for y in (sets, [mix(s + U64(777)) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(more), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "more", "keys"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, digest binary, n int, fp long, keys array<long>")
+    return documents_of(docs).mapInArrow(run, "doc_id long, digest binary, n int, fp long, more long, keys array<long>")
 
 
 def columns(batches) -> list[np.ndarray]:
@@ -183,8 +184,8 @@ def candidates(percent: int, turn: int | None):
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, fps: DataFrame, space: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike enough. Fingerprints more than APART bits apart are discarded; only
     the texts of what is left are read again, and only its sets travel, a copy for each pair."""
-    one, two = fps.toDF("a", "x"), fps.toDF("b", "y")
-    near = pairs.join(one, "a").join(two, "b").filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= APART).select("a", "b").distinct()
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    near = pairs.join(fps.toDF("a", "x1", "x2"), "a").join(fps.toDF("b", "y1", "y2"), "b").filter(apart("x1", "y1") + apart("x2", "y2") <= APART).select("a", "b").distinct()
     near = small(space.save(near, f"near{name}"), MOST_BROADCAST)  # two numbers a row
     ends = small(space.save(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ends{name}"), MOST_BROADCAST)
     sets = space.save(whole_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), width), f"sets{name}")
@@ -203,15 +204,15 @@ def components(docs: DataFrame, width: int, percent: int, close: Callable[[DataF
     space = Workspace(docs.sparkSession, "near")
     docs = docs.filter(F.col("doc_id").isNotNull())
     sets = space.save(first_keys(docs, width, percent), "keys")
-    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp")), "nodes")
-    fps = nodes.select(F.col("node").alias("doc_id"), "fp")
+    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("more", "doc_id").alias("more")), "nodes")
+    fps = nodes.select(F.col("node").alias("doc_id"), "fp", "more")
     dealt = sets.join(nodes.select("digest", F.col("node").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at")
     shards = parts_for(sets)
     rows = space.save(dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int"), "rows")
     links, labels = None, None
     for k, turn in enumerate(("close", 0, None)):
         if turn == "close":
-            pairs = close(fps)
+            pairs = close(fps.select("doc_id", "fp"))
         else:
             now = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
             pairs = now.repartition(parts_for(rows), "key").mapInArrow(candidates(percent, turn), "a long, b long")
