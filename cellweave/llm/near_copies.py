@@ -4,7 +4,7 @@ Two sets of which at least `percent` of the union is common share one of their f
 documents keep: of n shingles the first n - ceil(percent * n) + 1 are keys. Documents meet in the buckets of their keys,
 pairs too unlike in size or place are discarded, and the rest is verified on the whole sets. No link is lost.
 
-Scale: documents of equal sets are one node. Shingles common in a bounded sample (which only sets the order, so no
+Scale: documents of equal sets are one node. Shingles common in a sample (which only sets the order, so no
 result hangs on it) come last and are seldom keys. In a large bucket its members first meet one of them, twice, and only
 those that are not connected by then meet each other, so a large group of near copies costs stars and not all its pairs.
 Shingles are 64-bit hashes.
@@ -24,7 +24,7 @@ from .common import U64, Workspace, chunks, documents_of, joined, mix, parts_for
 from .components import least_labels
 from .native import small
 
-SAMPLE, COMMON, SMALL = 4000, 100_000, 64
+SHARE, SAMPLE, COMMON, SMALL = 8, 4000, 400_000, 64
 MOST_BROADCAST = 1_000_000
 #: Of two sets alike in 80 percent a bit of the fingerprints differs with a chance of 0.19 at most, so more than 46 of 128
 #: differ with a chance of about 1 in 10^6; of unlike sets, all but one in a thousand are discarded.
@@ -78,11 +78,12 @@ def whole_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending shingles that several documents of a sample hold, and their ranks, the commonest last."""
-    step = -(-docs.count() // SAMPLE)
+    """Ascending shingles that several documents of a sample (one in SHARE, about SAMPLE at least) hold, and their ranks,
+    the commonest last."""
+    step = min(-(-docs.count() // SAMPLE), SHARE)
     some = whole_sets(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(step, 1))) == 0), width).select("set").distinct()
-    held = some.select(F.explode("set").alias("h")).groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    h = np.array([r["h"] for r in held], np.int64).view(U64)
+    held = some.select(F.explode("set").alias("h")).groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toPandas()
+    h = held["h"].to_numpy(np.int64).view(U64)
     order = np.argsort(h)
     return h[order], -order.astype(np.int64)
 
@@ -210,7 +211,7 @@ def components(docs: DataFrame, width: int, percent: int, close: Callable[[DataF
     shards = parts_for(sets)
     rows = space.save(dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int"), "rows")
     links, labels = None, None
-    for k, turn in enumerate(("close", 0, None)):
+    for k, turn in enumerate(("close", 0, 1, None)):
         if turn == "close":
             pairs = close(fps.select("doc_id", "fp"))
         else:
