@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tables import osa
-from .keys import folded, fresh, kind, small
+from .keys import folded, fresh
 
 
 def tablejoin(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str] | None = None, how: str = "inner", suffix: str = "_2") -> DataFrame:
@@ -84,14 +84,21 @@ def binary_search(items: Column, x: Column, strict: bool = False) -> Column:
 
 
 def wildcard_lookup(df: DataFrame, pattern: str, table: DataFrame, key: str, values: list[str], order: str) -> DataFrame:
-    """MATCH 0 and XLOOKUP 2 with * and ?: the first table row, by order, whose text the pattern matches. A theta join of
-    distinct patterns, broadcast only if counted to be few, with the first row of each distinct text."""
+    """MATCH 0 and XLOOKUP 2 with * and ? (~ before one takes it as it is): the first table row, by order, whose text the
+    pattern matches, without case. Distinct patterns meet the distinct texts of equal first letters, as many as a pattern
+    has before its first wildcard; only patterns that begin with one meet all texts. Repeated rows stay."""
     p = F.col(pattern)
-    quoted = F.regexp_replace("_p", r"([.\\+^$()\[\]{}|])", r"\\$1")
-    like = F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", "."), F.lit("$"))
-    left = small(df.select(p.alias("_p")).distinct().withColumn("_like", like), 10_000)
+    marked = F.replace(F.replace(F.replace("_p", F.lit("~~"), F.lit("\x01")), F.lit("~*"), F.lit("\x02")), F.lit("~?"), F.lit("\x03"))
+    quoted = F.regexp_replace(marked, r"([.\\+^$()\[\]{}|])", r"\\$1")
+    open_ = F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\?", ".")
+    plain = lambda c: F.translate(c, "\x01\x02\x03", "~*?")
+    like = F.concat(F.lit("(?is)^"), F.replace(F.replace(F.replace(open_, F.lit("\x01"), F.lit("~")), F.lit("\x02"), F.lit("\\*")), F.lit("\x03"), F.lit("\\?")), F.lit("$"))
+    start = F.upper(plain(F.regexp_extract(marked, r"^[^*?]*", 0)))
+    left = df.select(p.alias("_p")).filter("_p IS NOT NULL").distinct().select("_p", like.alias("_like"), start.alias("_start")).withColumn("_n", F.length("_start"))
     firsts = table.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(order, *values)).alias("_row"))
-    best = left.join(firsts, F.expr("_k rlike _like")).groupBy("_p").agg(F.min("_row").alias("_row"))
+    lengths = left.groupBy().agg(F.collect_set("_n").alias("_ns"))  # as many as patterns have lengths
+    keyed = firsts.crossJoin(F.broadcast(lengths)).select("_k", "_row", F.explode("_ns").alias("_n")).withColumn("_start", F.upper(F.expr("substring(_k, 1, _n)")))
+    best = left.join(keyed, ["_n", "_start"]).filter(F.expr("_k rlike _like")).groupBy("_p").agg(F.min("_row").alias("_row"))
     return df.join(best, p == F.col("_p"), "left").select(*df.columns, *[F.col(f"_row.{v}").alias(v) for v in values])
 
 
@@ -170,5 +177,3 @@ def consolidate(sources: list[DataFrame], row: str, columns: list[str], function
     label = long.groupBy(F.upper("_r").alias("_u")).agg(F.min(F.struct("_n", "_r")).alias("_l"))
     return out.join(label, "_u").select(F.col("_l._r").alias(row), *[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
 
-
-assert kind

@@ -69,20 +69,27 @@ def vstack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def unique(df: DataFrame, columns: list[str] | None = None, exactly_once: bool = False) -> DataFrame:
-    """UNIQUE: distinct rows, text without case (the least spelling is shown); exactly_once: those that occur once."""
+def unique(df: DataFrame, columns: list[str] | None = None, exactly_once: bool = False, order: list[str] | None = None) -> DataFrame:
+    """UNIQUE: distinct rows, text without case; the first row by order is shown (of equal order, or without one, the
+    least); exactly_once: those that occur once."""
     columns = columns or df.columns
-    out = df.groupBy(*[folded(df, c).alias(f"_k{k}") for k, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in columns])
-    return (out.filter("_n = 1") if exactly_once else out).select(*columns)
+    row = F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order or [])], *[F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)])
+    out = df.groupBy(*[folded(df, c).alias(f"_k{k}") for k, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("_n"), F.min(row).alias("_r"))
+    return (out.filter("_n = 1") if exactly_once else out).select(*[F.col(f"_r._c{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def transpose(df: DataFrame, header: str, columns: list[str] | None = None) -> DataFrame:
-    """TRANSPOSE: header's values become columns (they must be few), the other columns rows."""
+    """TRANSPOSE: header's values become columns (they must be few), the other columns rows. A header met again gets its
+    number as a suffix, in order of the other columns."""
     columns = columns or [c for c in df.columns if c != header]
-    names = [r[0] for r in df.select(F.col(header).cast("string")).orderBy(header).limit(10_001).collect()]
-    if len(names) > 10_000:
+    few = df.limit(10_001).count()
+    if few > 10_000:
         raise ValueError("more than 10,000 columns")
-    long = df.select(F.col(header).cast("string").alias("_h"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot("_h", columns, "name", "_v")
+    again = F.row_number().over(Window.partitionBy(header).orderBy(*columns))  # counted: at most 10,000 rows
+    h = F.when(again == 1, F.col(header).cast("string")).otherwise(F.concat_ws("_", F.col(header).cast("string"), again.cast("string")))
+    df = df.select(h.alias("_h"), *columns)
+    names = [r[0] for r in df.select("_h").orderBy("_h").collect()]
+    long = df.select("_h", *[F.col(c).cast("string").alias(c) for c in columns]).unpivot("_h", columns, "name", "_v")
     return long.groupBy("name").pivot("_h", names).agg(F.first("_v"))
 
 
@@ -108,5 +115,3 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b)
 
-
-assert Window

@@ -160,16 +160,8 @@ def vlookup_approx(spark, d):
     return joins.asof(read(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", bands, "edge", ["band"]).select("p_partkey", "band")
 
 
-@query("match_asof", "WITH k AS (SELECT user_id, epoch_us(ts) / 1000000.0 AS s, event_id FROM events WHERE event_id % 3 = 0) SELECT e.event_id, k.event_id AS before_id FROM (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events WHERE event_id % 3 = 1) e ASOF LEFT JOIN k ON e.user_id = k.user_id AND e.s >= k.s")
+@query("match_asof", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events), k AS (SELECT user_id, s, max(event_id) AS before_id FROM e GROUP BY 1, 2) SELECT e.event_id, k.before_id FROM e ASOF LEFT JOIN k ON e.user_id = k.user_id AND e.s > k.s")
 def match_asof(spark, d):
-    e = read(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    keys = e.filter("event_id % 3 = 0").select("user_id", F.col("s").alias("k"), F.col("event_id").alias("before_id"))
-    probes = e.filter("event_id % 3 = 1").select("event_id", "user_id", "s")
-    return joins.asof(probes, "s", keys, "k", ["before_id"], ["user_id"]).select("event_id", "before_id")
-
-
-@query("match_asof_all", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS s FROM events), k AS (SELECT user_id, s, max(event_id) AS before_id FROM e GROUP BY 1, 2) SELECT e.event_id, k.before_id FROM e ASOF LEFT JOIN k ON e.user_id = k.user_id AND e.s > k.s")
-def match_asof_all(spark, d):
     e = read(spark, d, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     keys = e.select("user_id", F.col("s").alias("k"), F.col("event_id").alias("before_id"))
     return joins.asof(e.select("event_id", "user_id", "s"), "s", keys, "k", ["before_id"], ["user_id"], strict=True).select("event_id", "before_id")
@@ -197,16 +189,8 @@ def sumifs_per_row(spark, d):
     return rounded(joins.conditional_join(read(spark, d, "customer").select("c_custkey"), {"c_custkey": "o_custkey"}, read(spark, d, "orders"), "o_totalprice"), "value")
 
 
-@query("wildcard_lookup", "WITH p AS (SELECT p_partkey, p_type, substr(p_type, 1, 2) || '*' AS pat FROM part WHERE p_partkey <= 20) SELECT p.p_partkey, (SELECT min_by(q.p_brand, q.p_partkey) FROM part q WHERE lower(q.p_type) LIKE lower(substr(p.p_type, 1, 2)) || '%') AS p_brand FROM p")
+@query("wildcard_lookup", "SELECT p_partkey, first_value(p_brand) OVER (PARTITION BY lower(substr(p_type, 1, 2)) ORDER BY p_partkey) AS p_brand FROM part")
 def wildcard_lookup(spark, d):
-    parts = read(spark, d, "part")
-    probes = parts.filter("p_partkey <= 20").select("p_partkey", F.concat(F.substring("p_type", 1, 2), F.lit("*")).alias("pat"))
-    keys = parts.select("p_type", F.col("p_partkey").alias("ord"), "p_brand")
-    return joins.wildcard_lookup(probes, "pat", keys, "p_type", ["p_brand"], "ord").select("p_partkey", "p_brand")
-
-
-@query("wildcard_lookup_all", "SELECT p_partkey, first_value(p_brand) OVER (PARTITION BY lower(substr(p_type, 1, 2)) ORDER BY p_partkey) AS p_brand FROM part")
-def wildcard_lookup_all(spark, d):
     parts = read(spark, d, "part")
     probes = parts.select("p_partkey", F.concat(F.substring("p_type", 1, 2), F.lit("*")).alias("pat"))
     keys = parts.select("p_type", F.col("p_partkey").alias("ord"), "p_brand")
@@ -449,14 +433,8 @@ def date_functions(spark, d):
     return o.select("o_orderkey", "y", "m", "eom")
 
 
-@query("networkdays", "SELECT o_orderkey, CAST((SELECT count(*) FROM range(0, 30) t(i) WHERE isodow(CAST(o_orderdate AS DATE) + CAST(i AS INTEGER)) < 6) AS DOUBLE) AS days FROM orders WHERE o_orderkey < 200")
+@query("networkdays", "SELECT o_orderkey, CAST(20 + CAST(isodow(CAST(o_orderdate AS DATE)) < 6 AS INTEGER) + CAST(isodow(CAST(o_orderdate AS DATE) + 1) < 6 AS INTEGER) AS DOUBLE) AS days FROM orders")
 def networkdays(spark, d):
-    o = read(spark, d, "orders").filter("o_orderkey < 200").withColumn("day", F.to_date("o_orderdate"))
-    return with_column(o, "days", "=NETWORKDAYS([@day],[@day]+29)").select("o_orderkey", "days")
-
-
-@query("networkdays_all", "SELECT o_orderkey, CAST(20 + CAST(isodow(CAST(o_orderdate AS DATE)) < 6 AS INTEGER) + CAST(isodow(CAST(o_orderdate AS DATE) + 1) < 6 AS INTEGER) AS DOUBLE) AS days FROM orders")
-def networkdays_all(spark, d):
     o = read(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
     return with_column(o, "days", "=NETWORKDAYS([@day],[@day]+29)").select("o_orderkey", "days")
 
@@ -587,7 +565,7 @@ def moments(spark, d):
 
 @query("sumproduct", "SELECT round(sum(l_quantity * l_discount), 4) AS value FROM lineitem")
 def sumproduct(spark, d):
-    return rounded(with_column(read(spark, d, "lineitem"), "p", "=[@l_quantity]*[@l_discount]").agg(F.sum("p").alias("value")), "value", digits=4)
+    return rounded(engine(spark, d, "lineitem").query("=SUMPRODUCT(lineitem[l_quantity],lineitem[l_discount])").select("value"), "value", digits=4)
 
 
 @query("large_small", "SELECT (SELECT o_totalprice FROM orders ORDER BY o_totalprice DESC LIMIT 1 OFFSET 9) AS large10, (SELECT o_totalprice FROM orders ORDER BY o_totalprice LIMIT 1 OFFSET 4) AS small5")
@@ -663,3 +641,103 @@ def forecast_ets(spark, d):
         return pd.DataFrame({"event_type": [key[0]], "forecast": [None if isinstance(out, Err) else round(float(out), 6)]})
 
     return daily.groupBy("event_type").applyInPandas(one, "event_type string, forecast double")
+
+
+# Families of functions, called by their formulas.
+def table_of(e: Engine, formulas: dict[str, str], digits: int) -> DataFrame:
+    """(name, value) of formulas over whole columns."""
+    out = None
+    for name, formula in formulas.items():
+        row = e.query(formula).select(F.lit(name).alias("name"), F.round("value", digits).alias("value"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def columns_of(df: DataFrame, key: str, formulas: dict[str, str], digits: int = 6) -> DataFrame:
+    """key and a column for each formula, numbers rounded."""
+    for name, formula in formulas.items():
+        df = with_column(df, name, formula)
+    kinds = dict(df.dtypes)
+    return df.select(key, *[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in formulas])
+
+
+def listed(sql: dict[str, str], table: str, digits: int) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, round(CAST({x} AS DOUBLE), {digits}) AS value FROM {table}" for n, x in sql.items())
+
+
+Q, P, D = "lineitem[l_quantity]", "lineitem[l_extendedprice]", "lineitem[l_discount]"
+q_, p_, d_ = (f"CAST({c} AS DOUBLE)" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+PAIRED = {
+    "CORREL": (f"=CORREL({Q},{P})", f"corr({q_}, {p_})"), "PEARSON": (f"=PEARSON({P},{Q})", f"corr({p_}, {q_})"), "RSQ": (f"=RSQ({P},{Q})", f"regr_r2({p_}, {q_})"),
+    "COVARIANCE.P": (f"=COVARIANCE.P({Q},{D})", f"covar_pop({q_}, {d_})"), "COVARIANCE.S": (f"=COVARIANCE.S({Q},{D})", f"covar_samp({q_}, {d_})"), "COVAR": (f"=COVAR({Q},{D})", f"covar_pop({q_}, {d_})"),
+    "SLOPE": (f"=SLOPE({P},{Q})", f"regr_slope({p_}, {q_})"), "INTERCEPT": (f"=INTERCEPT({P},{Q})", f"regr_intercept({p_}, {q_})"), "FORECAST.LINEAR": (f"=FORECAST.LINEAR(30,{P},{Q})", f"regr_intercept({p_}, {q_}) + 30 * regr_slope({p_}, {q_})"),
+    "STEYX": (f"=STEYX({P},{Q})", f"sqrt((regr_syy({p_}, {q_}) - regr_sxy({p_}, {q_}) ^ 2 / regr_sxx({p_}, {q_})) / (count(*) - 2))"),
+    "SUMPRODUCT": (f"=SUMPRODUCT({Q},{D})", f"sum({q_} * {d_})"), "SUMXMY2": (f"=SUMXMY2({Q},{D})", f"sum(({q_} - {d_}) ^ 2)"), "SUMX2PY2": (f"=SUMX2PY2({Q},{D})", f"sum({q_} ^ 2 + {d_} ^ 2)"), "SUMX2MY2": (f"=SUMX2MY2({Q},{D})", f"sum({q_} ^ 2 - {d_} ^ 2)"),
+    "PERCENTOF": (f"=PERCENTOF({D},{Q})", f"sum({d_}) / sum({q_})"),
+}
+SINGLE = {
+    "SUMSQ": (f"=SUMSQ({Q})", f"sum({q_} * {q_})"), "DEVSQ": (f"=DEVSQ({Q})", f"var_pop({q_}) * count(*)"), "GEOMEAN": (f"=GEOMEAN({Q})", f"exp(avg(ln({q_})))"), "HARMEAN": (f"=HARMEAN({Q})", f"count(*) / sum(1 / {q_})"),
+    "SKEW": (f"=SKEW({P})", f"skewness({p_})"), "KURT": (f"=KURT({P})", f"kurtosis({p_})"), "PERCENTILE.INC": (f"=PERCENTILE.INC({Q},0.9)", f"quantile_cont({q_}, 0.9)"), "PERCENTILE": (f"=PERCENTILE({P},0.25)", f"quantile_cont({p_}, 0.25)"), "QUARTILE.INC": (f"=QUARTILE.INC({Q},3)", f"quantile_cont({q_}, 0.75)"), "QUARTILE": (f"=QUARTILE({Q},1)", f"quantile_cont({q_}, 0.25)"),
+    "LARGE": (f"=LARGE({P},7)", f"list_extract(max({p_}, 7), 7)"), "SMALL": (f"=SMALL({P},3)", f"list_extract(min({p_}, 3), 3)"), "COUNTA of UNIQUE": ("=COUNTA(UNIQUE(lineitem[l_shipdate]))", "count(DISTINCT l_shipdate)"), "ROWS of UNIQUE": (f"=ROWS(UNIQUE({Q}))*2", "count(DISTINCT l_quantity) * 2"), "COUNTBLANK": (f"=COUNTBLANK({Q})", "count(*) - count(l_quantity)"),
+}
+
+
+@query("column_pairs", listed({n: x for n, (_, x) in PAIRED.items()}, "lineitem", 3))
+def column_pairs(spark, d):
+    return table_of(engine(spark, d, "lineitem"), {n: f for n, (f, _) in PAIRED.items()}, 3)
+
+
+@query("column_statistics", listed({n: x for n, (_, x) in SINGLE.items()}, "lineitem", 3))
+def column_statistics(spark, d):
+    return table_of(engine(spark, d, "lineitem"), {n: f for n, (f, _) in SINGLE.items()}, 3)
+
+
+@query("trigonometry_family", "WITH t AS (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) / 1000 AS x FROM part) SELECT p_partkey, round(1 / tan(x), 6) AS cot, round(1 / cos(x), 6) AS sec, round(1 / sin(x), 6) AS csc, round(1 / tanh(x), 6) AS coth, round(1 / cosh(x), 6) AS sech, round(1 / sinh(x), 6) AS csch, round(pi() / 2 - atan(x), 6) AS acot, round(atanh(1 / (x + 1)), 6) AS acoth, round(acosh(x + 1), 6) AS acosh, round(atanh(x / 10), 6) AS atanh, round(sqrt(x * pi()), 6) AS sqrtpi, round(ln(x + 2) / ln(3), 6) AS log3, round(atanh(x / 10), 6) AS fisher, round(tanh(x), 6) AS fisherinv FROM t")
+def trigonometry(spark, d):
+    df = read(spark, d, "part").select("p_partkey", (F.col("p_retailprice").cast("double") / 1000).alias("x"))
+    return columns_of(df, "p_partkey", {"cot": "=COT([@x])", "sec": "=SEC([@x])", "csc": "=CSC([@x])", "coth": "=COTH([@x])", "sech": "=SECH([@x])", "csch": "=CSCH([@x])", "acot": "=ACOT([@x])", "acoth": "=ACOTH([@x]+1)", "acosh": "=ACOSH([@x]+1)", "atanh": "=ATANH([@x]/10)", "sqrtpi": "=SQRTPI([@x])", "log3": "=LOG([@x]+2,3)", "fisher": "=FISHER([@x]/10)", "fisherinv": "=FISHERINV([@x])"})
+
+
+@query("multiples_family", "WITH t AS (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS x FROM part) SELECT p_partkey, ceil(x / 0.5) * 0.5 AS up, floor(x / 7) * 7 AS down, -floor(x / 4) * 4 AS up_math, -ceil(x / 4) * 4 AS down_math, -ceil(x / 4) * 4 AS away_math, ceil(x / 8) * 8 AS precise, floor(x / 8) * 8 AS floor_precise, floor(x / 16 + 0.5) * 16 AS nearest, ceil(x / 2) * 2 AS even, ceil((x - 1) / 2) * 2 + 1 AS odd, CASE WHEN x >= 1000 THEN 1.0 ELSE 0.0 END AS step, CASE WHEN floor(x) = 1000 THEN 1.0 ELSE 0.0 END AS same FROM t")
+def multiples(spark, d):
+    df = read(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("x"))
+    return columns_of(df, "p_partkey", {"up": "=CEILING([@x],0.5)", "down": "=FLOOR([@x],7)", "up_math": "=CEILING.MATH(-[@x],4)", "down_math": "=FLOOR.MATH(-[@x],4)", "away_math": "=CEILING.MATH(-[@x],4,1)", "precise": "=CEILING.PRECISE([@x],8)", "floor_precise": "=FLOOR.PRECISE([@x],8)", "nearest": "=MROUND([@x],16)", "even": "=EVEN([@x])", "odd": "=ODD([@x])", "step": "=GESTEP([@x],1000)", "same": "=DELTA(INT([@x]),1000)"})
+
+
+@query("number_bases_family", "SELECT p_partkey, upper(to_base(p_partkey, 16)) AS hex, upper(to_base(p_partkey, 8)) AS oct, lpad(to_base(p_size, 2), 8, '0') AS bin, CAST(p_partkey AS DOUBLE) AS back, CAST(p_size AS DOUBLE) AS from_bin, CAST(p_partkey AS DOUBLE) AS from_oct, upper(to_base(p_size, 16)) AS bin2hex, to_base(p_size, 2) AS hex2bin, to_base(p_partkey, 8) AS hex2oct, upper(to_base(p_partkey, 16)) AS oct2hex, to_base(p_size, 8) AS bin2oct, to_base(p_size, 2) AS oct2bin, CAST(p_size * 8 AS DOUBLE) AS left_, CAST(p_size // 4 AS DOUBLE) AS right_ FROM part")
+def number_bases(spark, d):
+    df = read(spark, d, "part").select("p_partkey", "p_size")
+    return columns_of(df, "p_partkey", {"hex": "=DEC2HEX([@p_partkey])", "oct": "=DEC2OCT([@p_partkey])", "bin": "=DEC2BIN([@p_size],8)", "back": "=HEX2DEC(DEC2HEX([@p_partkey]))", "from_bin": "=BIN2DEC(DEC2BIN([@p_size]))", "from_oct": "=OCT2DEC(DEC2OCT([@p_partkey]))", "bin2hex": "=BIN2HEX(DEC2BIN([@p_size]))", "hex2bin": "=HEX2BIN(DEC2HEX([@p_size]))", "hex2oct": "=HEX2OCT(DEC2HEX([@p_partkey]))", "oct2hex": "=OCT2HEX(DEC2OCT([@p_partkey]))", "bin2oct": "=BIN2OCT(DEC2BIN([@p_size]))", "oct2bin": "=OCT2BIN(DEC2OCT([@p_size]))", "left_": "=BITLSHIFT([@p_size],3)", "right_": "=BITRSHIFT([@p_size],2)"})
+
+
+@query("calendar_family", "WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders) SELECT o_orderkey, CAST(isodow(x) AS DOUBLE) AS weekday2, CAST(dayofweek(x) + 1 AS DOUBLE) AS weekday1, CAST(isodow(x) - 1 AS DOUBLE) AS weekday3, CAST(weekofyear(x) AS DOUBLE) AS isoweek, CAST((dayofyear(x) - 1 + dayofweek(date_trunc('year', x))) // 7 + 1 AS DOUBLE) AS weeknum, CAST(date_diff('day', DATE '1899-12-30', last_day(x)) AS DOUBLE) AS month_end, round(3723 / 86400.0, 6) AS clock FROM t")
+def calendar(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("x"))
+    return columns_of(df, "o_orderkey", {"weekday2": "=WEEKDAY([@x],2)", "weekday1": "=WEEKDAY([@x])", "weekday3": "=WEEKDAY([@x],3)", "isoweek": "=WEEKNUM([@x],21)", "weeknum": "=WEEKNUM([@x])", "month_end": "=DATE(YEAR([@x]),MONTH([@x])+1,0)", "clock": "=TIME(1,2,3)"})
+
+
+@query("text_parts_family", "SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) AS proper, split_part(c_name, '#', 1) AS before, split_part(c_name, '#', 2) AS after, CAST(ascii(c_mktsegment) AS DOUBLE) AS code, chr(CAST(65 + c_custkey % 26 AS INTEGER)) AS char FROM customer")
+def text_parts(spark, d):
+    return columns_of(read(spark, d, "customer"), "c_custkey", {"proper": "=PROPER([@c_mktsegment])", "before": '=TEXTBEFORE([@c_name],"#")', "after": '=TEXTAFTER([@c_name],"#")', "code": "=CODE([@c_mktsegment])", "char": "=CHAR(65+MOD([@c_custkey],26))"})
+
+
+@query("annuities_family", "WITH t AS (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS x FROM orders) SELECT o_orderkey, round(-(x * power(1.01, 12) + 100 * (power(1.01, 12) - 1) / 0.01), 4) AS fv, round(-(x * 1.02 * (power(1.02, 10) - 1) / 0.02) / power(1.02, 10), 4) AS pv, round(ln((-(x / 100) / 0.001) / (x - (x / 100) / 0.001)) / ln(1.001), 4) AS nper, round((x - x / 10) / 7, 4) AS sln, round((x - x / 10) * 5 * 2 / 30, 4) AS syd, round(power(1 + 0.05 / 12, 12) - 1, 4) AS effect, round((power(1.05, 1 / 4.0) - 1) * 4, 4) AS nominal, round(ln(2) / ln(1.03), 4) AS pduration FROM t")
+def annuities(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("x"))
+    return columns_of(df, "o_orderkey", {"fv": "=FV(0.01,12,100,[@x])", "pv": "=PV(0.02,10,[@x],0,1)", "nper": "=NPER(0.001,-[@x]/100,[@x])", "sln": "=SLN([@x],[@x]/10,7)", "syd": "=SYD([@x],[@x]/10,5,1)", "effect": "=EFFECT(0.05,12)", "nominal": "=NOMINAL(0.05,4)", "pduration": "=PDURATION(0.03,[@x],2*[@x])"}, 4)
+
+
+@query("densities_family", "WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_quantity AS DOUBLE) / 10 AS x FROM lineitem) SELECT id, round(exp(-x * x / 2) / sqrt(2 * pi()), 6) AS phi, round((x - 2) / 1.5, 6) AS z, round(1 - exp(-0.7 * x), 6) AS expon, round(0.7 * exp(-0.7 * x), 6) AS expon_density, round(1 - exp(-power(x / 2, 1.5)), 6) AS weibull, round(1.5 / power(2, 1.5) * power(x, 0.5) * exp(-power(x / 2, 1.5)), 6) AS weibull_density FROM t")
+def densities(spark, d):
+    df = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity").cast("double") / 10).alias("x"))
+    return columns_of(df, "id", {"phi": "=PHI([@x])", "z": "=STANDARDIZE([@x],2,1.5)", "expon": "=EXPON.DIST([@x],0.7,TRUE)", "expon_density": "=EXPON.DIST([@x],0.7,FALSE)", "weibull": "=WEIBULL.DIST([@x],1.5,2,TRUE)", "weibull_density": "=WEIBULL.DIST([@x],1.5,2,FALSE)"})
+
+
+@query("groupby_filter", "SELECT l_returnflag, round(sum(l_quantity), 2) AS l_quantity FROM lineitem WHERE l_quantity > 25 GROUP BY l_returnflag")
+def groupby_filter(spark, d):
+    return rounded(engine(spark, d, "lineitem").query("=GROUPBY(lineitem[l_returnflag],lineitem[l_quantity],SUM,,0,,lineitem[l_quantity]>25)"), "l_quantity")
+
+
+@query("take_columns", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5")
+def take_columns(spark, d):
+    return engine(spark, d, "nation").query("=TAKE(nation[[n_nationkey]:[n_name]],5,2)")

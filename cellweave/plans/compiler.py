@@ -205,6 +205,50 @@ def power(x: Column, y: Column) -> tuple[Column, Column]:
 
 
 AGGREGATES = {"SUM", "AVERAGE", "COUNT", "COUNTA", "MAX", "MIN", "PRODUCT", "MEDIAN", "STDEV", "STDEV.S", "STDEVP", "STDEV.P", "VAR", "VAR.S", "VARP", "VAR.P"}
+#: Aggregates of several columns of one table, or of a column and literals: what they are of (c: columns, k: literals),
+#: and a value from these that is null where the aggregate is an error, with the error.
+x_, sum_ = (lambda c: c.cast("double")), F.sum
+both = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), x_(a)), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), x_(b))
+n_ = lambda a: F.count(x_(a)).cast("double")
+
+
+def sample_skew(a: Column) -> Column:
+    n = n_(a)
+    return F.when(n > 2, F.skewness(x_(a)) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def sample_kurtosis(a: Column) -> Column:
+    n = n_(a)
+    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x_(a)) + 6))
+
+
+def error_of_fit(y: Column, x: Column) -> Column:
+    n = F.regr_count(x_(y), x_(x)).cast("double")
+    return F.when(n > 2, F.sqrt((F.regr_syy(x_(y), x_(x)) - F.pow(F.regr_sxy(x_(y), x_(x)), 2) / F.nullif(F.regr_sxx(x_(y), x_(x)), F.lit(0.0))) / (n - 2)))
+
+
+def product_sum(*cs: Column) -> Column:
+    return F.coalesce(F.sum(reduce(lambda a, b: a * b, [F.coalesce(x_(c), F.lit(0.0)) for c in cs])), F.lit(0.0))
+
+
+WIDER: dict[str, tuple[str, Callable, str]] = {
+    "SUMSQ": ("c", lambda a: F.coalesce(F.sum(x_(a) * x_(a)), F.lit(0.0)), "#NUM!"),
+    "DEVSQ": ("c", lambda a: F.var_pop(x_(a)) * n_(a), "#NUM!"),
+    "GEOMEAN": ("c", lambda a: F.when(F.min(x_(a)) > 0, F.exp(F.avg(F.ln(F.when(x_(a) > 0, x_(a)))))), "#NUM!"),
+    "HARMEAN": ("c", lambda a: F.when(F.min(x_(a)) > 0, n_(a) / F.sum(1 / F.when(x_(a) > 0, x_(a)))), "#NUM!"),
+    "SKEW": ("c", sample_skew, "#DIV/0!"), "SKEW.P": ("c", lambda a: F.skewness(x_(a)), "#DIV/0!"), "KURT": ("c", sample_kurtosis, "#DIV/0!"),
+    "COUNTBLANK": ("c", lambda a: F.count_if(a.isNull()), "#VALUE!"), "ROWS": ("c", lambda a: F.count(F.lit(1)), "#VALUE!"),
+    "CORREL": ("cc", lambda a, b: F.corr(both[0](a, b), both[1](a, b)), "#DIV/0!"), "PEARSON": ("cc", lambda a, b: F.corr(both[0](a, b), both[1](a, b)), "#DIV/0!"),
+    "RSQ": ("cc", lambda a, b: F.pow(F.corr(both[0](a, b), both[1](a, b)), 2), "#DIV/0!"),
+    "COVAR": ("cc", lambda a, b: F.covar_pop(x_(a), x_(b)), "#DIV/0!"), "COVARIANCE.P": ("cc", lambda a, b: F.covar_pop(x_(a), x_(b)), "#DIV/0!"), "COVARIANCE.S": ("cc", lambda a, b: F.covar_samp(x_(a), x_(b)), "#DIV/0!"),
+    "SLOPE": ("cc", lambda y, x: F.regr_slope(x_(y), x_(x)), "#DIV/0!"), "INTERCEPT": ("cc", lambda y, x: F.regr_intercept(x_(y), x_(x)), "#DIV/0!"), "STEYX": ("cc", error_of_fit, "#DIV/0!"),
+    "FORECAST": ("kcc", lambda k, y, x: F.regr_intercept(x_(y), x_(x)) + k * F.regr_slope(x_(y), x_(x)), "#DIV/0!"), "FORECAST.LINEAR": ("kcc", lambda k, y, x: F.regr_intercept(x_(y), x_(x)) + k * F.regr_slope(x_(y), x_(x)), "#DIV/0!"),
+    "SUMPRODUCT": ("c*", product_sum, "#VALUE!"), "SUMXMY2": ("cc", lambda a, b: F.sum(F.pow(x_(a) - x_(b), 2)), "#DIV/0!"), "SUMX2PY2": ("cc", lambda a, b: F.sum(x_(a) * x_(a) + x_(b) * x_(b)), "#DIV/0!"), "SUMX2MY2": ("cc", lambda a, b: F.sum(x_(a) * x_(a) - x_(b) * x_(b)), "#DIV/0!"),
+    "PERCENTILE": ("ck", lambda a, k: F.percentile(x_(a), k) if 0 <= k <= 1 else F.lit(None), "#NUM!"), "PERCENTILE.INC": ("ck", lambda a, k: F.percentile(x_(a), k) if 0 <= k <= 1 else F.lit(None), "#NUM!"),
+    "QUARTILE": ("ck", lambda a, k: F.percentile(x_(a), int(k) / 4) if 0 <= k < 5 else F.lit(None), "#NUM!"), "QUARTILE.INC": ("ck", lambda a, k: F.percentile(x_(a), int(k) / 4) if 0 <= k < 5 else F.lit(None), "#NUM!"),
+    "PERCENTOF": ("cc", lambda a, b: F.try_divide(F.sum(x_(a)), F.sum(x_(b))), "#DIV/0!"),
+}
+ORDERED = {"LARGE": True, "SMALL": False}
 CONDITIONAL = {"SUMIF": "SUM", "SUMIFS": "SUM", "AVERAGEIF": "AVERAGE", "AVERAGEIFS": "AVERAGE", "COUNTIF": "COUNT", "COUNTIFS": "COUNT", "MAXIFS": "MAX", "MINIFS": "MIN"}
 
 
@@ -217,7 +261,7 @@ class Compiler:
         if name and df is not None:
             self.tables.setdefault(self.name, df)
         self.names = {k.lower(): v for k, v in (names or {}).items()}
-        self.totals: list[tuple[str, DataFrame]] = []
+        self.totals: list[tuple[str, DataFrame, Column]] = []
         self.columns = {c.lower(): c for c in df.columns} if df is not None else {}
 
     def column(self, name: str) -> Val:
@@ -313,6 +357,8 @@ class Compiler:
             return self.conditional(tree)
         if name in AGGREGATES and all(isinstance(a, Structured) and not a.this_row for a in args):
             return self.total(tree)
+        if (name in WIDER or name in ORDERED) and any(isinstance(a, Structured) and not a.this_row and a.table for a in args):
+            return self.wider(tree)
         if name in SPECIAL:
             return SPECIAL[name](self, args, scope)
         given = [Val("n", F.lit(None).cast("double")) if a == MISSING_ARG else self.compile(a, scope) for a in args]
@@ -335,12 +381,50 @@ class Compiler:
         if len(tree.args) != 1:
             raise NotColumnar("one column an aggregate")
         df, c = self.frame(tree.args[0])
-        return self.one(df.agg(measure(tree.name, F.col(c)).alias("v")), tree.name)
+        return self.one(df, measure(tree.name, F.col(c)), "#NUM!" if tree.name == "MEDIAN" else "#DIV/0!")
 
-    def one(self, frame: DataFrame, name: str) -> Val:
+    def one(self, df: DataFrame, value: Column, error: str) -> Val:
         at = f"_total{len(self.totals)}"
-        self.totals.append((at, frame.select(F.col("v").cast("double").alias(at))))
-        return Val("n", F.col(at), code(F.col(at).isNull(), "#NUM!" if name == "MEDIAN" else "#DIV/0!"))
+        self.totals.append((at, df, value.cast("double").alias(at)))
+        return Val("n", F.col(at), code(F.col(at).isNull() | F.isnan(at), error))
+
+    def wider(self, tree: Call) -> Val:
+        """Aggregates of several columns, or with literals. The k-th largest or smallest is a top-k."""
+        spec, build, error = WIDER.get(tree.name, ("ck", None, "#NUM!"))
+        kinds = "c" * len(tree.args) if spec == "c*" else spec
+        if len(kinds) != len(tree.args):
+            raise NotColumnar(f"{tree.name} of {len(tree.args)} arguments")
+        df, given = None, []
+        for k, a in zip(kinds, tree.args, strict=True):
+            if k == "k":
+                sign = -1 if isinstance(a, Unary) and a.op == "-" else 1
+                a = a.arg if sign < 0 else a
+                if not isinstance(a, Lit) or isinstance(a.value, (str, bool)) or a.value is None:
+                    raise NotColumnar(f"{tree.name} takes a literal number")
+                given.append(sign * float(a.value))
+                continue
+            if not isinstance(a, Structured) or a.first != a.last:
+                raise NotColumnar(f"{tree.name} takes whole columns")
+            own, c = self.frame(a)
+            if df is not None and own is not df:
+                raise NotColumnar("columns of one table")
+            df = own
+            given.append(F.col(c))
+        if build is not None:
+            return self.one(df, build(*given), error)
+        k = int(given[1])
+        if not 1 <= k <= 100_000:
+            raise NotColumnar("a k of at most 100,000: see operators.criteria.kth")
+        value = x_(given[0]).alias("v")
+        top = df.select(value).filter("v IS NOT NULL").orderBy(F.col("v").desc() if ORDERED[tree.name] else F.col("v")).limit(k)
+        return self.one(top, F.when(F.count("v") == k, (F.min if ORDERED[tree.name] else F.max)("v")), error)
+
+    def one_rows(self) -> list[DataFrame]:
+        """The totals as frames of one row, one frame and one scan for all totals of a table."""
+        held: dict[int, tuple[DataFrame, list[Column]]] = {}
+        for _, df, value in self.totals:
+            held.setdefault(id(df), (df, []))[1].append(value)
+        return [df.agg(*values) for df, values in held.values()]
 
     def conditional(self, tree: Call) -> Val:
         single = not tree.name.endswith("S")
@@ -360,7 +444,7 @@ class Compiler:
                 raise NotColumnar("a criterion per row is a join: see operators.joins.conditional_join")
             keep &= criterion(df, name, c.value)
         x = F.when(keep, F.col(self.frame(value)[1])) if value is not None else F.when(keep, F.lit(1.0))
-        return self.one(df.agg(measure(CONDITIONAL[tree.name], x).alias("v")), tree.name)
+        return self.one(df, measure(CONDITIONAL[tree.name], x), "#DIV/0!")
 
     # Results.
     def with_column(self, name: str, formula: str, errors: bool = False) -> DataFrame:
@@ -370,17 +454,17 @@ class Compiler:
         out = df.withColumn(name, F.when(v.err.isNull(), v.col) if v.err is not None else v.col)
         if errors:
             out = out.withColumn(f"{name}_err", v.err if v.err is not None else F.lit(None).cast("string"))
-        return out.drop(*[at for at, _ in self.totals])
+        return out.drop(*[at for at, _, _ in self.totals])
 
     def joined(self, df: DataFrame) -> DataFrame:
-        for _, frame in self.totals:
+        for frame in self.one_rows():
             df = df.crossJoin(F.broadcast(frame))  # one row each
         return df
 
-    def scalar(self, formula: str) -> DataFrame:
-        """A formula of whole columns only, as a frame of one row (value, error)."""
-        v = self.compile(parse(formula))
-        frames = [f for _, f in self.totals]
+    def scalar(self, formula) -> DataFrame:
+        """A formula (or its tree) of whole columns only, as a frame of one row (value, error)."""
+        v = self.compile(parse(formula) if isinstance(formula, str) else formula)
+        frames = self.one_rows()
         if not frames:
             raise NotColumnar("no column is read")
         df = frames[0]
@@ -635,3 +719,5 @@ def with_column(df: DataFrame, name: str, formula: str, table: str | None = None
 
 
 assert Array
+
+from . import native_columns  # noqa: E402, F401  it registers its functions here

@@ -12,7 +12,7 @@ def test_asof_of_every_event(spark, data):
     for r in rows:
         of.setdefault(r.user_id, []).append((r.s, r.event_id))
     expected = {r.event_id: max((x for x in of[r.user_id] if x[0] < r.s), default=(0, None))[1] for r in rows}
-    assert {r.event_id: r.before_id for r in catalog.queries()["match_asof_all"](spark, data).collect()} == expected
+    assert {r.event_id: r.before_id for r in catalog.queries()["match_asof"](spark, data).collect()} == expected
 
 
 def test_asof_ties_among_many_keys(spark):

@@ -7,7 +7,7 @@ from cellweave.plans import catalog
 def test_wildcards_of_every_part(spark, data):
     parts = spark.read.parquet(f"{data}/part.parquet").orderBy("p_partkey").collect()
     expected = {p.p_partkey: next(q.p_brand for q in parts if q.p_type.lower().startswith(p.p_type[:2].lower())) for p in parts}
-    assert {r.p_partkey: r.p_brand for r in catalog.queries()["wildcard_lookup_all"](spark, data).collect()} == expected
+    assert {r.p_partkey: r.p_brand for r in catalog.queries()["wildcard_lookup"](spark, data).collect()} == expected
 
 
 def test_wildcards_keep_repeated_rows(spark):
