@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table
+from .common import Workspace, plan_bytes, table
 from .native import gram_hashes, hashed, let, lower_ascii, small, split_words, text_key, up_to
 
 APART = "[\\x00-/:-`{-\\x7f]+"
@@ -77,6 +77,13 @@ def hits(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     return found.select("h1", "h2", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.concat_ws(",", "items").alias("ids"))
 
 
+def held(found: DataFrame) -> DataFrame:
+    """Hits as a table, broadcast if its files are small, so that copies of one text need not meet in one task; else
+    adaptive execution splits what is skewed."""
+    saved = Workspace(found.sparkSession, "hits").save(found, "found")
+    return F.broadcast(saved) if plan_bytes(saved) <= 4 << 20 else saved
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document.
 
@@ -84,14 +91,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     Extra columns are ignored."""
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     base = docs.select("doc_id", "h1", "h2", F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
-    out = base.join(hits(docs, items, width), ["h1", "h2"], "left")
+    out = base.join(held(hits(docs, items, width)), ["h1", "h2"], "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_words", count("n_hit"), count("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """docs without contaminated ones; columns as they are."""
-    found = hits(keyed(docs), items, width).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    found = held(hits(keyed(docs), items, width).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")))
     h1, h2 = text_key(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return docs.join(found, (h1 == found["_h1"]) & (h2 == found["_h2"]), "left_anti")
 

@@ -14,6 +14,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -32,6 +33,7 @@ ENDS = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PATHS, WORDS, PD, WD, NUM, H = 1024, 1024, 16, 8, 8, 24
+STEPS = 4096
 
 
 def slot(token: str, n: int) -> int:
@@ -41,7 +43,7 @@ def slot(token: str, n: int) -> int:
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     """(text, distinct tokens of the whole tag path, share of linked characters) of every leaf block with text, in page
     order."""
-    out, stack, parts, within = [], [], [], {}
+    out, stack, parts, within, opened = [], [], [], {}, Counter()
     linked = anchor = 0
 
     def flush() -> None:
@@ -76,11 +78,12 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
                 parts.append(m[0][9:-3].replace("&", "&amp;"))
             continue
         if m[1] or m[4]:
-            if any(tag == name for tag, _ in stack):
+            if opened[name]:
                 if name in BLOCK:
                     flush()
                 while True:
                     tag, tokens = stack.pop()
+                    opened[tag] -= 1
                     leave(tokens)
                     anchor -= tag == "a"
                     if tag == name:
@@ -98,6 +101,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             for k in range(len(stack) - 1, -1, -1):
                 if name in ENDS.get(stack[k][0], ()):
                     for tag, tokens in stack[k:]:
+                        opened[tag] -= 1
                         leave(tokens)
                         anchor -= tag == "a"
                     del stack[k:]
@@ -109,6 +113,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if name not in VOID and not attributes.endswith("/"):
             tokens = [name] + [f".{w.lower()}" for g in NAMED.findall(attributes) for w in re.findall(r"[a-zA-Z]+", "".join(g))]
             stack.append((name, tokens))
+            opened[name] += 1
             for t in tokens:
                 within[t] = within.get(t, 0) + 1
             anchor += name == "a"
@@ -154,9 +159,10 @@ def lstm(x: np.ndarray, there: np.ndarray, u: np.ndarray, v: np.ndarray, b: np.n
     B, T, _ = x.shape
     h, c = np.zeros((B, H), np.float32), np.zeros((B, H), np.float32)
     out, held = np.zeros((B, T, H), np.float32), []
-    pre = x @ u + b
     for t in range(T):
-        z = pre[:, t] + h @ v
+        if t % STEPS == 0:  # a part of a long page at a time
+            pre = x[:, t : t + STEPS] @ u + b
+        z = pre[:, t % STEPS] + h @ v
         i, f, o = sigmoid(z[:, :H]), sigmoid(z[:, H : 2 * H]), sigmoid(z[:, 2 * H : 3 * H])
         g, on = np.tanh(z[:, 3 * H :]), there[:, t, None]
         c2 = np.where(on, f * c + i * g, c)

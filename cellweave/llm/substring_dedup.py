@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, put_ints, put_sorted, random_words, release, slices, table, word_bounds, word_hashes
+from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, prime_from, put_ints, put_sorted, random_words, release, slices, table, word_bounds, word_hashes
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 PIECE = "shard int, kind int, codes binary, docs binary"
@@ -215,11 +215,24 @@ def remove_windows(width: int):
     return run
 
 
+def whole_rows(remove, names: tuple[str, ...]):
+    """Rows without an id lose nothing and need not meet others."""
+
+    def run(batches):
+        none = pa.table({n: pa.array([], pa.binary()) for n in names})
+        for b in batches:
+            yield from remove(None, pa.Table.from_batches([b]), none).to_batches()
+
+    return run
+
+
 def without(docs: DataFrame, lost: DataFrame, buckets: int, width: int, keep_text: bool) -> DataFrame:
     """The documents without what they lose, dealt by bucket of doc_id."""
     lost = lost.filter(F.col("kind") == LOST).select(F.col("shard").alias("bucket"), "codes", "docs")
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(-1)).cast("int").alias("bucket")
-    done = docs.select("*", bucket).groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(remove_windows(width), RESULT.replace("kept string", "kept binary"))
+    bucket = F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket")
+    schema, remove = RESULT.replace("kept string", "kept binary"), remove_windows(width)
+    done = docs.filter("doc_id IS NOT NULL").select("*", bucket).groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(remove, schema)
+    done = done.unionByName(docs.filter("doc_id IS NULL").mapInArrow(whole_rows(remove, ("codes", "docs")), schema))
     kept = F.col("kept").cast("string").alias("kept")
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256", *[kept] * keep_text)
 
@@ -272,7 +285,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, batches: int = 4, keep_tex
     back whole. Rows that share a doc_id don't take words from each other. Extra columns are ignored."""
     spark = docs.sparkSession
     parts = parts_for(docs)
-    shards, buckets = parts, parts | 1
+    shards, buckets = parts, prime_from(parts)
     docs = documents_of(docs)
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     space = Workspace(spark, "fingerprints")

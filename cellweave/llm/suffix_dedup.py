@@ -22,7 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, put_ints, put_sorted, random_words, release, slices, table
+from .common import U64, Workspace, chunks, documents_of, get_ints, get_sorted, joined, mix, parts_for, prime_from, put_ints, put_sorted, random_words, release, slices, table
+from .substring_dedup import whole_rows
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 FOUND = "shard int, kind int, codes binary, docs binary"
@@ -429,9 +430,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
     space = Workspace(docs.sparkSession, "suffixes")
     docs = documents_of(docs)
     parts = parts_for(docs)
-    shards, buckets = parts, parts | 1
-    bucket = F.coalesce(F.pmod("doc_id", F.lit(buckets)), F.lit(-1)).cast("int").alias("bucket")
-    dealt = docs.select("*", bucket)
+    shards, buckets = parts, prime_from(parts)
+    dealt = docs.filter("doc_id IS NOT NULL").select("*", F.pmod("doc_id", F.lit(buckets)).cast("int").alias("bucket"))
 
     def known(rows):
         return rows.withColumnRenamed("shard", "bucket").groupBy("bucket")
@@ -442,6 +442,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, keep_text: bool = True) ->
     del found, cuts
     release(docs.sparkSession)
     out = dealt.groupBy("bucket").cogroup(known(lost)).applyInArrow(remove_bytes(length), RESULT)
+    out = out.unionByName(docs.filter("doc_id IS NULL").mapInArrow(whole_rows(remove_bytes(length), ("docs", "vers", "starts", "sizes")), RESULT))
     return out if keep_text else out.drop("kept")
 
 
