@@ -165,7 +165,7 @@ def date(y, m, d):
     fine = (y >= 1900) & (y <= 19_999) & (F.abs(m) < 100_000) & (F.abs(d) < 10_000_000)
     first = F.add_months(F.make_date(F.when(fine, y).otherwise(1900).cast("int"), F.lit(1), F.lit(1)), F.when(fine, m - 1).otherwise(0).cast("int"))
     out = serial_of(F.date_add(first, F.when(fine, d - 1).otherwise(0).cast("int")))
-    return out, code(~fine | (out < 0) | (out >= LAST), "#NUM!")
+    return out, code(~fine | (serial_of(first) >= LAST) | (out < 0) | (out >= LAST), "#NUM!")
 
 
 @native("TIME", "nnn", "n")
