@@ -24,7 +24,7 @@ from .common import U64, Workspace, chunks, documents_of, joined, mix, parts_for
 from .components import least_labels
 from .native import small
 
-SHARE, SAMPLE, COMMON, SMALL = 8, 4000, 400_000, 64
+SHARE, SAMPLE, COMMON, SMALL = 8, 4000, 100_000, 64
 MOST_BROADCAST = 1_000_000
 #: Of two sets alike in 80 percent a bit of the fingerprints differs with a chance of 0.19 at most, so more than 46 of 128
 #: differ with a chance of about 1 in 10^6; of unlike sets, all but one in a thousand are discarded.
@@ -82,8 +82,8 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     the commonest last."""
     step = min(-(-docs.count() // SAMPLE), SHARE)
     some = whole_sets(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(step, 1))) == 0), width).select("set").distinct()
-    held = some.select(F.explode("set").alias("h")).groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toPandas()
-    h = held["h"].to_numpy(np.int64).view(U64)
+    held = some.select(F.explode("set").alias("h")).groupBy("h").count().filter("count >= 3").orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()  # eight bytes a row
+    h = held["h"].to_numpy().astype(np.int64).view(U64)
     order = np.argsort(h)
     return h[order], -order.astype(np.int64)
 
