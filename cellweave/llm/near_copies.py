@@ -2,7 +2,7 @@
 
 Two sets of which at least `percent` of the union is common share one of their first shingles in any order that all
 documents keep: of n shingles the first n - ceil(percent * n) + 1 are keys. Documents meet in the buckets of their keys,
-pairs too unlike in size or place are discarded, and the rest is verified on the whole sets. No link is lost.
+pairs too unlike in size, place or fingerprint are discarded there, and the rest is verified on the whole sets.
 
 Scale: documents of equal sets are one node. Shingles common in a sample (which only sets the order, so no
 result hangs on it) come last and are seldom keys. In a large bucket its members first meet one of them, twice, and only
@@ -24,11 +24,13 @@ from .common import U64, Workspace, chunks, documents_of, joined, mix, parts_for
 from .components import least_labels
 from .native import small
 
-SHARE, SAMPLE, COMMON, SMALL = 8, 4000, 100_000, 64
+SHARE, SAMPLE, COMMON, SMALL, BLOCK = 8, 4000, 100_000, 64, 1 << 18
 MOST_BROADCAST = 1_000_000
-#: Of two sets alike in 80 percent a bit of the fingerprints differs with a chance of 0.19 at most, so more than 46 of 128
-#: differ with a chance of about 1 in 10^6; of unlike sets, all but one in a thousand are discarded.
-APART = 46
+#: A fingerprint has four words of 64 bits. Of two sets alike in 80 percent a bit differs with a chance of 0.1875 at most,
+#: and of 0.1582 if both have FEW shingles or more, so more than APART of the 256 bits differ with a chance of about 1 in
+#: 10^6 (first number: fewer than FEW shingles in one of them).
+WORDS, FEW, APART = ("fp", "fp1", "fp2", "fp3"), 20, (80, 70)
+LONGS = ", ".join(f"{w} long" for w in WORDS)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -97,7 +99,7 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, digest (of the whole set), n (its size), fp and more (its fingerprint, 64 bits and another 64), keys."""
+    """doc_id, digest (of the whole set), n (its size), WORDS (its fingerprint), keys."""
     common, rank = common_shingles(docs, width)
 
     def run(batches):
@@ -106,10 +108,10 @@ def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
             keys = [keys_of(s, common, rank, percent).view(np.int64) for s in sets]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             with np.errstate(over="ignore"):
-                fps, more = (np.array([fingerprint(x) for x in y], U64).view(np.int64) for y in (sets, [mix(s + U64(777)) for s in sets]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fps), pa.array(more), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", "fp", "more", "keys"])
+                fps = [np.array([fingerprint(mix(x + U64(777 * k)) if k else x) for x in sets], U64).view(np.int64) for k in range(len(WORDS))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), *map(pa.array, fps), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", *WORDS, "keys"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, digest binary, n int, fp long, more long, keys array<long>")
+    return documents_of(docs).mapInArrow(run, f"doc_id long, digest binary, n int, {LONGS}, keys array<long>")
 
 
 def columns(batches) -> list[np.ndarray]:
@@ -142,8 +144,16 @@ def possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, label:
     return (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (rest >= least)
 
 
+def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, fps: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of rows have fingerprints no further apart than those of alike sets."""
+    apart = np.zeros(len(i), np.int64)
+    for fp in fps:
+        apart += np.bitwise_count(fp[i] ^ fp[j])
+    return apart <= np.where(np.minimum(n[i], n[j]) < FEW, *APART)
+
+
 def candidates(percent: int, turn: int | None):
-    """Over rows (key, node, n, at, label) that hold whole buckets: pairs (a, b) of nodes to verify. With a turn each row
+    """Over rows (key, node, n, at, label, WORDS) that hold whole buckets: pairs (a, b) of nodes to verify. With a turn each row
     meets one of its bucket, another one each turn; without, all that are not connected meet."""
 
     def run(batches):
@@ -152,13 +162,16 @@ def candidates(percent: int, turn: int | None):
             return
         with np.errstate(over="ignore"):
             order = np.lexsort((mix(t[1].view(U64) + U64(1 + (turn or 0))), t[0]))
-        key, node, n, at, label = [x[order].astype(np.int64) for x in t]
+        key, node, n, at, label, *fps = [x[order].astype(np.int64) for x in t]
+        fps = [x.view(U64) for x in fps]
         edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         sizes = np.diff(edges)
         found = [np.zeros((0, 2), np.int64)]
 
         def put(i, j):
             keep = possible(i, j, n, at, label, percent)
+            i, j = i[keep], j[keep]
+            keep = near(i, j, n, fps)
             a, b = node[i[keep]], node[j[keep]]
             found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
 
@@ -174,20 +187,21 @@ def candidates(percent: int, turn: int | None):
                 rows = np.arange(edges[k], edges[k + 1])
                 names, own, count = np.unique(label[rows], return_inverse=True, return_counts=True)
                 rows = rows[np.argsort(own != np.argmax(count), kind="stable")]  # the largest group needs no pairs inside
-                for x in range(count.max(), len(rows)):
-                    put(rows[:x], np.full(x, rows[x]))
+                step = max(BLOCK // len(rows), 1)
+                for x in range(count.max(), len(rows), step):
+                    later = np.arange(x, min(x + step, len(rows)))  # each meets all before it
+                    before = np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
+                    put(rows[before], rows[np.repeat(later, later)])
         both = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, fps: DataFrame, space: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike enough. Fingerprints more than APART bits apart are discarded; only
-    the texts of what is left are read again, and only its sets travel, a copy for each pair."""
-    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    near = pairs.join(fps.toDF("a", "x1", "x2"), "a").join(fps.toDF("b", "y1", "y2"), "b").filter(apart("x1", "y1") + apart("x2", "y2") <= APART).select("a", "b").distinct()
-    near = small(space.save(near, f"near{name}"), MOST_BROADCAST)  # two numbers a row
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, space: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike enough. Only the texts of these pairs are read again, and only their
+    sets travel, a copy for each pair."""
+    near = small(space.save(pairs.distinct(), f"near{name}"), MOST_BROADCAST)  # two numbers a row
     ends = small(space.save(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ends{name}"), MOST_BROADCAST)
     sets = space.save(whole_sets(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi"), width), f"sets{name}")
     x, y = sets.toDF("a", "x").join(near, "a"), sets.toDF("b", "y").join(near, "b")
@@ -205,19 +219,20 @@ def components(docs: DataFrame, width: int, percent: int, close: Callable[[DataF
     space = Workspace(docs.sparkSession, "near")
     docs = docs.filter(F.col("doc_id").isNotNull())
     sets = space.save(first_keys(docs, width, percent), "keys")
-    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("more", "doc_id").alias("more")), "nodes")
-    fps = nodes.select(F.col("node").alias("doc_id"), "fp", "more")
+    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.min_by(w, "doc_id").alias(w) for w in WORDS]), "nodes")
+    fps = nodes.select("node", *WORDS)
     dealt = sets.join(nodes.select("digest", F.col("node").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at")
     shards = parts_for(sets)
-    rows = space.save(dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int"), "rows")
+    met = dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int")
+    rows = space.save(met.join(fps, "node"), "rows")
     links, labels = None, None
     for k, turn in enumerate(("close", 0, 1, None)):
         if turn == "close":
-            pairs = close(fps.select("doc_id", "fp"))
+            pairs = close(fps.select(F.col("node").alias("doc_id"), "fp"))
         else:
-            now = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"))
+            now = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"), *WORDS)
             pairs = now.repartition(parts_for(rows), "key").mapInArrow(candidates(percent, turn), "a long, b long")
-        found = verified(pairs, docs, width, percent, fps, space, str(k))
+        found = verified(pairs, docs, width, percent, space, str(k))
         links = found if links is None else links.union(found)
         both = links.union(links.select("b", "a"))
         ends = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
