@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each one's group, under the links (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
+    return label
+
+
 def least_labels(nodes: DataFrame, links: DataFrame, space: Workspace) -> DataFrame:
     """nodes (node, label): unique nodes and the label each brings; links (a, b) in both directions. Returns (node,
     label), label being the least of a node's component. A round takes the least label of the neighbours, then that of

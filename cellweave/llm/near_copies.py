@@ -5,9 +5,10 @@ documents keep: of n shingles the first n - ceil(percent * n) + 1 are keys. Docu
 pairs too unlike in size, place or fingerprint are discarded there, and the rest is verified on the whole sets.
 
 Scale: documents of equal sets are one node. Shingles common in a sample (which only sets the order, so no
-result hangs on it) come last and are seldom keys. In a large bucket its members first meet one of them, twice, and only
-those that are not connected by then meet each other, so a large group of near copies costs stars and not all its pairs.
-Shingles are 64-bit hashes.
+result hangs on it) come last and are seldom keys. In a large bucket its members first meet one of them. Those that are
+not connected by then are compared inside the bucket, but only a least spanning forest of the pairs found leaves it, and
+all pairs only where their verification has left groups apart, so a large group of near copies costs rows in proportion
+to its members and not to its pairs. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, chunks, documents_of, joined, mix, parts_for, random_words, word_bounds, word_hashes
-from .components import least_labels
+from .common import U64, Workspace, chunks, documents_of, joined, mix, parts_for, random_words, release, word_bounds, word_hashes
+from .components import least_labels, roots
 from .native import small
 
 SHARE, SAMPLE, COMMON, SMALL, BLOCK = 8, 4000, 100_000, 64, 1 << 18
@@ -30,7 +31,10 @@ MOST_BROADCAST = 1_000_000
 #: and of 0.1582 if both have FEW shingles or more, so more than APART of the 256 bits differ with a chance of about 1 in
 #: 10^6 (first number: fewer than FEW shingles in one of them).
 WORDS, FEW, APART = ("fp", "fp1", "fp2", "fp3"), 20, (80, 70)
-LONGS = ", ".join(f"{w} long" for w in WORDS)
+#: A bit of PARITY is the parity of how many of the set's shingles fall on it, so two sets differ in as many shingles as
+#: bits at least: pairs that differ in more bits than alike sets do in shingles are discarded without loss.
+PARITY = tuple(f"odd{k}" for k in range(8))
+LONGS = ", ".join(f"{w} long" for w in WORDS + PARITY)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -98,8 +102,14 @@ def fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(own), bitorder="little").view("<u8")[0])
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """PARITY of a set."""
+    at = (mix(own + U64(4242)) & U64(64 * len(PARITY) - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * len(PARITY)) & 1, bitorder="little").view("<u8")
+
+
 def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, digest (of the whole set), n (its size), WORDS (its fingerprint), keys."""
+    """doc_id, digest (of the whole set), n (its size), WORDS (its fingerprint), PARITY, keys."""
     common, rank = common_shingles(docs, width)
 
     def run(batches):
@@ -109,7 +119,8 @@ def first_keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             with np.errstate(over="ignore"):
                 fps = [np.array([fingerprint(mix(x + U64(777 * k)) if k else x) for x in sets], U64).view(np.int64) for k in range(len(WORDS))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), *map(pa.array, fps), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", *WORDS, "keys"])
+                odd = np.array([parities(x) for x in sets], U64).reshape(len(sets), len(PARITY)).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), *map(pa.array, fps), *map(pa.array, odd), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "n", *WORDS, *PARITY, "keys"])
 
     return documents_of(docs).mapInArrow(run, f"doc_id long, digest binary, n int, {LONGS}, keys array<long>")
 
@@ -144,38 +155,80 @@ def possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, label:
     return (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & (rest >= least)
 
 
+def apart(i: np.ndarray, j: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """In how many bits of all words each pair of rows differs."""
+    out = np.zeros(len(i), np.int64)
+    for w in words:
+        out += np.bitwise_count(w[i] ^ w[j])
+    return out
+
+
 def near(i: np.ndarray, j: np.ndarray, n: np.ndarray, fps: list[np.ndarray]) -> np.ndarray:
     """Which pairs of rows have fingerprints no further apart than those of alike sets."""
-    apart = np.zeros(len(i), np.int64)
-    for fp in fps:
-        apart += np.bitwise_count(fp[i] ^ fp[j])
-    return apart <= np.where(np.minimum(n[i], n[j]) < FEW, *APART)
+    return apart(i, j, fps) <= np.where(np.minimum(n[i], n[j]) < FEW, *APART)
+
+
+def even(i: np.ndarray, j: np.ndarray, n: np.ndarray, odd: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of rows differ in no more parities than alike sets do in shingles; loses no pair that is alike."""
+    both = n[i] + n[j]
+    return apart(i, j, odd) <= both - 2 * -(-both * percent // (100 + percent))
 
 
-def candidates(percent: int, turn: int | None):
-    """Over rows (key, node, n, at, label, WORDS) that hold whole buckets: pairs (a, b) of nodes to verify. With a turn each row
-    meets one of its bucket, another one each turn; without, all that are not connected meet."""
+def spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray, size: int) -> np.ndarray:
+    """Which of the edges (a, b) between so many vertices form a least spanning forest; of equal costs the first."""
+    order = np.argsort(cost, kind="stable")
+    a, b = a[order], b[order]
+    label, live, chosen = np.arange(size), np.arange(len(a)), [np.zeros(0, np.int64)]
+    while len(live := live[label[a[live]] != label[b[live]]]):
+        best = np.full(size, len(a))
+        np.minimum.at(best, label[a[live]], live)
+        np.minimum.at(best, label[b[live]], live)
+        chosen.append(np.unique(best[best < len(a)]))
+        label = roots(size, label[a[chosen[-1]]], label[b[chosen[-1]]])[label]
+    return order[np.concatenate(chosen)]
+
+
+def candidates(percent: int, turn: str):
+    """Over rows (key, node, n, at, label, WORDS, and but for the star PARITY) that hold whole buckets: pairs (a, b) of nodes to
+    verify. "star": each row meets one of its bucket. "forest": all that are not connected meet, and of the pairs that may
+    be alike those stay that connect all of a bucket's labels that any connect, the closest first. "all": all of them."""
 
     def run(batches):
         t = columns(batches)
         if not t:
             return
         with np.errstate(over="ignore"):
-            order = np.lexsort((mix(t[1].view(U64) + U64(1 + (turn or 0))), t[0]))
-        key, node, n, at, label, *fps = [x[order].astype(np.int64) for x in t]
-        fps = [x.view(U64) for x in fps]
+            order = np.lexsort((mix(t[1].view(U64) + U64(1)), t[0]))
+        key, node, n, at, label, *words = [x[order].astype(np.int64) for x in t]
+        fps, odd = [x.view(U64) for x in words[: len(WORDS)]], [x.view(U64) for x in words[len(WORDS) :]]
         edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         sizes = np.diff(edges)
-        found = [np.zeros((0, 2), np.int64)]
+        by = np.lexsort((label, key))
+        vertex = np.zeros(len(by), np.int64)  # a label of a bucket
+        vertex[by[1:]] = np.cumsum((key[by[1:]] != key[by[:-1]]) | (label[by[1:]] != label[by[:-1]]))
+        found, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+
+        def forest():
+            i, j = map(np.concatenate, zip(*found, strict=True))
+            keep = spanning(vertex[i], vertex[j], apart(i, j, odd), len(vertex))
+            found[:] = [(i[keep], j[keep])]
 
         def put(i, j):
+            nonlocal held
             keep = possible(i, j, n, at, label, percent)
             i, j = i[keep], j[keep]
             keep = near(i, j, n, fps)
-            a, b = node[i[keep]], node[j[keep]]
-            found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-
-        if turn is not None:
+            i, j = i[keep], j[keep]
+            if odd:
+                keep = even(i, j, n, odd, percent)
+                i, j = i[keep], j[keep]
+            found.append((i, j))
+            held += len(i)
+            if turn == "forest" and held > BLOCK:
+                forest()
+                held = 0
+
+        if turn == "star":
             put(np.repeat(edges[:-1], sizes), np.arange(len(key)))
         else:
             last = np.repeat(edges[1:], sizes)
@@ -192,7 +245,10 @@ def candidates(percent: int, turn: int | None):
                     later = np.arange(x, min(x + step, len(rows)))  # each meets all before it
                     before = np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
                     put(rows[before], rows[np.repeat(later, later)])
-        both = np.unique(np.concatenate(found), axis=0)
+        if turn == "forest":
+            forest()
+        a, b = (node[np.concatenate(x)] for x in zip(*found, strict=True))
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return run
@@ -214,28 +270,29 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, space:
 
 def components(docs: DataFrame, width: int, percent: int, close: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over pairs at least so alike. close gives, for (doc_id, fp) of
-    one document for each distinct set, the pairs that fingerprints find; they are verified first, and pairs that they
-    connect need not meet again."""
+    one document for each distinct set, the pairs that fingerprints find; they are verified first, with those of the stars,
+    and what they connect need not meet again."""
     space = Workspace(docs.sparkSession, "near")
     docs = docs.filter(F.col("doc_id").isNotNull())
     sets = space.save(first_keys(docs, width, percent), "keys")
-    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.min_by(w, "doc_id").alias(w) for w in WORDS]), "nodes")
-    fps = nodes.select("node", *WORDS)
+    nodes = space.save(sets.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.min_by(w, "doc_id").alias(w) for w in WORDS + PARITY]), "nodes")
     dealt = sets.join(nodes.select("digest", F.col("node").alias("doc_id")), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n", F.posexplode("keys").alias("at", "key")).select("key", "node", "n", "at")
     shards = parts_for(sets)
-    met = dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int")
-    rows = space.save(met.join(fps, "node"), "rows")
+    rows = space.save(dealt.repartition(shards, "key").mapInArrow(meeting(percent), "key long, node long, n int, at int"), "rows")
     links, labels = None, None
-    for k, turn in enumerate(("close", 0, 1, None)):
-        if turn == "close":
-            pairs = close(fps.select(F.col("node").alias("doc_id"), "fp"))
-        else:
-            now = rows.join(labels, "node", "left").select("key", "node", "n", "at", F.coalesce("label", "node").alias("label"), *WORDS)
-            pairs = now.repartition(parts_for(rows), "key").mapInArrow(candidates(percent, turn), "a long, b long")
+    for k, turn in enumerate(("star", "forest", "all")):
+        words = WORDS if turn == "star" else WORDS + PARITY
+        who = nodes.select("node", *words)
+        who = who.withColumn("label", F.col("node")) if labels is None else who.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        now = rows.join(who, "node").select("key", "node", "n", "at", "label", *words)
+        pairs = now.repartition(parts_for(rows, 1 << 20), "key").mapInArrow(candidates(percent, turn), "a long, b long")
+        if turn == "star":
+            pairs = pairs.union(close(nodes.select(F.col("node").alias("doc_id"), "fp")))
         found = verified(pairs, docs, width, percent, space, str(k))
         links = found if links is None else links.union(found)
         both = links.union(links.select("b", "a"))
         ends = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
         labels = space.save(least_labels(space.save(ends, f"nodes{k}"), both, space), f"least{k}")
+        release(docs.sparkSession)
     held = sets.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").join(labels, "node", "left")
     return held.select("doc_id", F.coalesce("label", "node").alias("component_id"))

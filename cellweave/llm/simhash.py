@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import near_copies
 from .common import U64, Workspace, chunks, documents_of, parts_for, random_words, table
-from .components import least_labels
+from .components import least_labels, roots
 
 HOT = 1500
 
@@ -72,23 +72,6 @@ def close(i: np.ndarray, j: np.ndarray, fps: np.ndarray, rows: np.ndarray, bits:
     return i[keep], j[keep]
 
 
-def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least member of each one's group, under the links (i, j)."""
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-        open_ = label[i] != label[j]
-        i, j = i[open_], j[open_]
-    return label
-
-
 def crowd(fps: np.ndarray, rows: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected within a large bucket, without all its pairs. A leader is linked to all
     within reach, and those are no leaders; afterwards groups not yet connected are compared if their leaders are near

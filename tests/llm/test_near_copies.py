@@ -59,3 +59,56 @@ def test_components_are_those_of_all_pairs(spark, texts):
 
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == brute(texts)
+
+
+def test_large_group_makes_pairs_in_proportion_to_its_members(spark, monkeypatch):
+    from cellweave.llm import near_copies, simhash
+
+    r = random.Random(5)
+    base = [f"w{r.randrange(3000)}" for _ in range(150)]
+    texts = {}
+    for i in range(600):
+        copy = list(base)
+        for k in r.sample(range(150), r.randrange(2, 10)):
+            copy[k] = f"x{r.randrange(10**6)}"
+        texts[i + 1] = " ".join(copy)
+    made, old = [], near_copies.verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.distinct().count())
+        return old(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in simhash.similar(docs).collect()} == brute(texts)
+    assert sum(made) < 4 * len(texts), made
+
+
+def test_parities_keep_all_alike_and_forest_connects():
+    import numpy as np
+
+    from cellweave.llm import near_copies as nc
+    from cellweave.llm.components import roots
+
+    r = np.random.default_rng(7)
+    for n in (5, 40, 150, 600, 3000):
+        for change in (0.02, 0.05, 0.1, 0.4):
+            a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[r.random(n) >= change], r.integers(0, 1 << 64, int(n * change), dtype=np.uint64)]))
+            odd = list(np.stack([nc.parities(a), nc.parities(b)], axis=1))
+            common = len(np.intersect1d(a, b))
+            kept = nc.even(np.array([0]), np.array([1]), np.array([len(a), len(b)]), odd, 80)[0]
+            assert kept or 100 * common < 80 * (len(a) + len(b) - common)
+            assert not (kept and n in (150, 600) and change == 0.4)
+    i, j, cost = r.integers(0, 90, 700), r.integers(0, 90, 700), r.integers(0, 9, 700)
+    i, j = i - i % 2, j - j % 2  # odd vertices stay alone
+    keep = nc.spanning(i, j, cost, 90)
+    whole = roots(90, i, j)
+    assert (roots(90, i[keep], j[keep]) == whole).all() and len(keep) == 90 - len(set(whole.tolist()))
+    closest = np.argsort(cost, kind="stable")
+    cheap, label = 0, np.arange(90)
+    for e in closest:  # Kruskal
+        if label[i[e]] != label[j[e]]:
+            cheap += cost[e]
+            label[label == label[i[e]]] = label[j[e]]
+    assert cost[keep].sum() == cheap
