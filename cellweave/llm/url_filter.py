@@ -20,7 +20,7 @@ from .native import let, lower_ascii, up_to
 
 SLOTS, GRAMS = 4096, (3, 4)
 #: (host and path prefix, verdict): a rule fits its host and all subdomains; the longest that fits wins.
-RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
+RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Labelled URLs, 1 to block: made up for training; hosts and paths of both kinds share subdomains, languages and forms.
 BLOCKED = """
 best-casino.test/en/12 www.casino-royal.test/en/310 casino-online.test/de/44.html m.win-casino.test/fr/9 casino-win-big.test/en/700
