@@ -2,15 +2,86 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import MOST_BROADCAST
+
 
 def percentile(c: str, k: float) -> Column:
     """PERCENTILE.INC: at k (n - 1), between neighbours."""
     return F.percentile(F.col(c).cast("double"), k)
 
 
+#: Parts that a range of values is split into, in each round of a search for ranks.
+PARTS = 1 << 14
+
+
+def rough(x: Column) -> Column:
+    """A whole number that never falls as x rises: |x| to the power 1/1024 in steps. Square roots are rounded correctly,
+    so this holds without exception. At most 101,000 numbers in all; values of one number differ by 7 percent at most."""
+    root = F.abs(x)
+    for _ in range(10):
+        root = F.sqrt(root)
+    step = (F.signum(x) * F.floor(root * 32768)).cast("long")
+    return F.when(F.isnan(x), F.lit(2_000_000)).when(F.abs(x) == float("inf"), (F.signum(x) * 1_000_000).cast("long")).otherwise(step)
+
+
+def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], *others: Column) -> DataFrame:
+    """PERCENTILE.INC per group: keys, a column for each name in wanted (column, k), at k (n - 1) between neighbours, and
+    other aggregates. Without keys one row.
+
+    F.percentile gathers all values of a group in one task. Here the ranks are searched for: rows are counted in rough
+    steps, then twice in equal parts of the range in which the rank lies, and last by value. A step holds 2^49 doubles at
+    most, so 2^21 are left then. A task holds that many counts a rank at most, however large the input is, and only counts
+    are shuffled; the input is read four times (and once for other aggregates)."""
+    names, columns = list(wanted), []
+    for c, _ in wanted.values():
+        if not any(c is o for o in columns):
+            columns.append(c)
+    at = [next(i for i, o in enumerate(columns) if c is o) for c, _ in wanted.values()]
+    packs = [f"_k{i}" for i in range(len(keys))]
+    held = [F.col(k).alias(p) for k, p in zip(keys, packs, strict=True)]
+    cells = [F.struct(F.lit(i).alias("c"), c.cast("double").alias("x")) for i, c in enumerate(columns)]
+    rows = df.select(*held, F.explode(F.array(*cells)).alias("_")) if len(cells) > 1 else df.select(*held, cells[0].alias("_"))
+    rows = rows.select(*packs, F.col("_.c").alias("_c"), F.col("_.x").alias("_x")).filter(F.col("_x").isNotNull())
+    number, low, high = F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high")
+    # the step of each rank: (group, column, name, side, place, rank within the step, its least and largest value)
+    own = Window.partitionBy(*packs, "_c")
+    steps = rows.groupBy(*packs, "_c", rough(F.col("_x")).alias("_b")).agg(number, low, high)
+    steps = steps.withColumn("_t", F.sum("_n").over(own)).withColumn("_to", F.sum("_n").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    place = lambda k: F.lit(float(k)) * (F.col("_t") - 1)
+    ranks = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(q).alias("q"), F.lit(side).alias("side"), place(k).alias("p"), f(place(k)).cast("long").alias("r")) for q, (i, (_, k)) in enumerate(zip(at, wanted.values(), strict=True)) for side, f in enumerate((F.floor, F.ceil))])
+    inside = F.filter(ranks, lambda r: (r["c"] == F.col("_c")) & (r["r"] < F.col("_to")) & (r["r"] >= F.col("_to") - F.col("_n")))
+    found = steps.select(*packs, "_c", "_low", "_high", (F.col("_to") - F.col("_n")).alias("_before"), F.explode(inside).alias("_"))
+    found = found.select(*packs, "_c", F.col("_.q").alias("_q"), F.col("_.side").alias("_side"), F.col("_.p").alias("_p"), (F.col("_.r") - F.col("_before")).alias("_left"), "_low", "_high")
+    hint = F.broadcast if not keys or found.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda f: f  # two rows a name without keys
+    target, own = [*packs, "_c", "_q", "_side"], Window.partitionBy(*packs, "_c", "_q", "_side")
+    for last in (False, False, True):
+        a, b = rows.alias("a"), hint(found).alias("b")
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{p}").eqNullSafe(F.col(f"b.{p}")) for p in packs], F.col("a._c") == F.col("b._c"))
+        met = a.join(b, same & F.col("a._x").between(F.col("b._low"), F.col("b._high"))).select(*[f"b.{t}" for t in target], "_p", "_left", "_low", "_high", "_x")
+        width = F.when(F.col("_low") < F.col("_high"), F.col("_high") - F.col("_low"))
+        part = F.col("_x") if last else F.coalesce(F.floor((F.col("_x") - F.col("_low")) / width * (PARTS - 1)), F.lit(0))
+        counted = met.groupBy(*target, part.alias("_b")).agg(number, low, high, F.max("_p").alias("_p"), F.max("_left").alias("_left"))
+        counted = counted.withColumn("_to", F.sum("_n").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_before", F.col("_to") - F.col("_n"))
+        found = counted.filter((F.col("_left") < F.col("_to")) & (F.col("_left") >= F.col("_before"))).select(*target, "_p", (F.col("_left") - F.col("_before")).alias("_left"), "_low", "_high")
+    out = []
+    for q, name in enumerate(names):
+        pick = lambda side, c, q=q: F.max(F.when((F.col("_q") == q) & (F.col("_side") == side), F.col(c)))
+        p, below, above = pick(0, "_p"), pick(0, "_low"), pick(1, "_low")
+        out.append(F.when(F.floor(p) == F.ceil(p), below).otherwise((F.ceil(p) - p) * below + (p - F.floor(p)) * above).alias(name))
+    values = found.groupBy(*packs).agg(*out)
+    if not keys:
+        return values.crossJoin(F.broadcast(df.agg(*others))) if others else values  # one row
+    groups = df.groupBy(*held).agg(*others) if others else df.select(*held).distinct()
+    values = values.withColumnsRenamed({p: f"{p}v" for p in packs})
+    joined = groups.join(hint(values), reduce(lambda x, y: x & y, [F.col(p).eqNullSafe(F.col(f"{p}v")) for p in packs]), "left")
+    return joined.select(*[F.col(p).alias(k) for p, k in zip(packs, keys, strict=True)], *names, *[c for c in groups.columns if c not in packs])
+
+
 def percentile_exc(df: DataFrame, c: str, ks: list[float]) -> DataFrame:
     """PERCENTILE.EXC: at k (n + 1) - 1; null where that lies outside. Values are counted before the running sum."""
     counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))

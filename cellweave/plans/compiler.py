@@ -19,6 +19,7 @@ from ..functions.registry import TABLE, Function, lifted
 from ..functions.values import Arr, Err, text
 from ..operators.criteria import criterion
 from ..operators.groups import measure
+from ..operators.stats import percentiles
 from .parser import MISSING_ARG, Apply, Array, Binary, Call, Lit, Name, Structured, Unary, parse
 
 KINDS = {"n": "double", "t": "string", "b": "boolean"}
@@ -244,10 +245,11 @@ WIDER: dict[str, tuple[str, Callable, str]] = {
     "SLOPE": ("cc", lambda y, x: F.regr_slope(x_(y), x_(x)), "#DIV/0!"), "INTERCEPT": ("cc", lambda y, x: F.regr_intercept(x_(y), x_(x)), "#DIV/0!"), "STEYX": ("cc", error_of_fit, "#DIV/0!"),
     "FORECAST": ("kcc", lambda k, y, x: F.regr_intercept(x_(y), x_(x)) + k * F.regr_slope(x_(y), x_(x)), "#DIV/0!"), "FORECAST.LINEAR": ("kcc", lambda k, y, x: F.regr_intercept(x_(y), x_(x)) + k * F.regr_slope(x_(y), x_(x)), "#DIV/0!"),
     "SUMPRODUCT": ("c*", product_sum, "#VALUE!"), "SUMXMY2": ("cc", lambda a, b: F.sum(F.pow(x_(a) - x_(b), 2)), "#DIV/0!"), "SUMX2PY2": ("cc", lambda a, b: F.sum(x_(a) * x_(a) + x_(b) * x_(b)), "#DIV/0!"), "SUMX2MY2": ("cc", lambda a, b: F.sum(x_(a) * x_(a) - x_(b) * x_(b)), "#DIV/0!"),
-    "PERCENTILE": ("ck", lambda a, k: F.percentile(x_(a), k) if 0 <= k <= 1 else F.lit(None), "#NUM!"), "PERCENTILE.INC": ("ck", lambda a, k: F.percentile(x_(a), k) if 0 <= k <= 1 else F.lit(None), "#NUM!"),
-    "QUARTILE": ("ck", lambda a, k: F.percentile(x_(a), int(k) / 4) if 0 <= k < 5 else F.lit(None), "#NUM!"), "QUARTILE.INC": ("ck", lambda a, k: F.percentile(x_(a), int(k) / 4) if 0 <= k < 5 else F.lit(None), "#NUM!"),
     "PERCENTOF": ("cc", lambda a, b: F.try_divide(F.sum(x_(a)), F.sum(x_(b))), "#DIV/0!"),
 }
+#: What share of the way a whole column's percentile lies, by the function's second argument; null where that is an error.
+SHARES = {name: f for names, f in (("PERCENTILE PERCENTILE.INC", lambda k: k if 0 <= k <= 1 else None), ("QUARTILE QUARTILE.INC", lambda k: int(k) / 4 if 0 <= k < 5 else None)) for name in names.split()}
+WIDER |= {name: ("ck", None, "#NUM!") for name in SHARES}
 ORDERED = {"LARGE": True, "SMALL": False}
 CONDITIONAL = {"SUMIF": "SUM", "SUMIFS": "SUM", "AVERAGEIF": "AVERAGE", "AVERAGEIFS": "AVERAGE", "COUNTIF": "COUNT", "COUNTIFS": "COUNT", "MAXIFS": "MAX", "MINIFS": "MIN"}
 
@@ -261,7 +263,7 @@ class Compiler:
         if name and df is not None:
             self.tables.setdefault(self.name, df)
         self.names = {k.lower(): v for k, v in (names or {}).items()}
-        self.totals: list[tuple[str, DataFrame, Column]] = []
+        self.totals: list[tuple[str, DataFrame, Column | tuple[str, float]]] = []
         self.columns = {c.lower(): c for c in df.columns} if df is not None else {}
 
     def column(self, name: str) -> Val:
@@ -381,11 +383,14 @@ class Compiler:
         if len(tree.args) != 1:
             raise NotColumnar("one column an aggregate")
         df, c = self.frame(tree.args[0])
-        return self.one(df, measure(tree.name, F.col(c)), "#NUM!" if tree.name == "MEDIAN" else "#DIV/0!")
+        if tree.name == "MEDIAN":
+            return self.one(df, (c, 0.5), "#NUM!")
+        return self.one(df, measure(tree.name, F.col(c)), "#DIV/0!")
 
-    def one(self, df: DataFrame, value: Column, error: str) -> Val:
+    def one(self, df: DataFrame, value: Column | tuple[str, float], error: str) -> Val:
+        """A total of df: an aggregate, or a column's percentile."""
         at = f"_total{len(self.totals)}"
-        self.totals.append((at, df, value.cast("double").alias(at)))
+        self.totals.append((at, df, value if isinstance(value, tuple) else value.cast("double").alias(at)))
         return Val("n", F.col(at), code(F.col(at).isNull() | F.isnan(at), error))
 
     def wider(self, tree: Call) -> Val:
@@ -412,6 +417,9 @@ class Compiler:
             given.append(F.col(c))
         if build is not None:
             return self.one(df, build(*given), error)
+        if tree.name in SHARES:
+            share = SHARES[tree.name](given[1])
+            return self.one(df, F.max(F.lit(None)) if share is None else (c, share), error)
         k = int(given[1])
         if not 1 <= k <= 100_000:
             raise NotColumnar("a k of at most 100,000: see operators.criteria.kth")
@@ -420,11 +428,20 @@ class Compiler:
         return self.one(top, F.when(F.count("v") == k, (F.min if ORDERED[tree.name] else F.max)("v")), error)
 
     def one_rows(self) -> list[DataFrame]:
-        """The totals as frames of one row, one frame and one scan for all totals of a table."""
-        held: dict[int, tuple[DataFrame, list[Column]]] = {}
-        for _, df, value in self.totals:
-            held.setdefault(id(df), (df, []))[1].append(value)
-        return [df.agg(*values) for df, values in held.values()]
+        """The totals as frames of one row, one frame and one scan for all totals of a table, one more for its percentiles."""
+        held: dict[int, tuple[DataFrame, list[Column], dict]] = {}
+        for at, df, value in self.totals:
+            _, values, ranked = held.setdefault(id(df), (df, [], {}))
+            if isinstance(value, tuple):
+                ranked[at] = value
+            else:
+                values.append(value)
+        out = []
+        for df, values, ranked in held.values():
+            columns = {c: F.col(c) for c, _ in ranked.values()}
+            out += [df.agg(*values)] if values else []
+            out += [percentiles(df, [], {at: (columns[c], k) for at, (c, k) in ranked.items()})] if ranked else []
+        return out
 
     def conditional(self, tree: Call) -> Val:
         single = not tree.name.endswith("S")
