@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import has_wildcard, parse_number, wildcard
 from .keys import folded, fresh, kind
+from .stats import percentiles
 
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
 OPERATORS = ("<>", ">=", "<=", ">", "<", "=")
@@ -148,9 +149,11 @@ def conditional(df: DataFrame, measure: str | None, function: str, rules: dict,
     """SUMIFS and its family: one aggregate (sum, average, count, max, min, median) over the rows that pass, per key."""
     ok = all_of(df, rules)
     x = F.when(ok, F.col(measure).cast("double")) if measure else F.when(ok, F.lit(1.0))
+    if function == "median":
+        return percentiles(df, keys or [], {"value": (x, 0.5)})
     out = {
         "sum": lambda: F.coalesce(F.sum(x), F.lit(0.0)), "average": lambda: F.avg(x), "count": lambda: F.count(x), "max": lambda: F.coalesce(F.max(x), F.lit(0.0)),
-        "min": lambda: F.coalesce(F.min(x), F.lit(0.0)), "median": lambda: F.median(x),
+        "min": lambda: F.coalesce(F.min(x), F.lit(0.0)),
     }[function]()
     return df.groupBy(*(keys or [])).agg(out.alias("value"))
 

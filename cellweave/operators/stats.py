@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from .keys import MOST_BROADCAST
 
 
-def percentile(c: str, k: float) -> Column:
-    """PERCENTILE.INC: at k (n - 1), between neighbours."""
-    return F.percentile(F.col(c).cast("double"), k)
-
-
 #: Parts that a range of values is split into, in each round of a search for ranks.
 PARTS = 1 << 14
 

@@ -371,7 +371,8 @@ def frequency(spark, d):
 
 @query("percentile_inc", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1")
 def percentile_inc(spark, d):
-    return rounded(read(spark, d, "lineitem").groupBy("l_returnflag").agg(stats.percentile("l_extendedprice", 0.25).alias("q1"), stats.percentile("l_extendedprice", 0.9).alias("p90")), "q1", "p90", digits=4)
+    price = F.col("l_extendedprice")
+    return rounded(stats.percentiles(read(spark, d, "lineitem"), ["l_returnflag"], {"q1": (price, 0.25), "p90": (price, 0.9)}), "q1", "p90", digits=4)
 
 
 @query("percentile_exc", "WITH s AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) AS r, count(*) OVER () AS n FROM orders), k AS (SELECT unnest([0.1, 0.5])::DOUBLE AS k) SELECT k, round((SELECT max(x) FROM s WHERE r = floor(k * (n + 1))) + (k * ((SELECT max(n) FROM s) + 1) - floor(k * ((SELECT max(n) FROM s) + 1))) * ((SELECT max(x) FROM s WHERE r = floor(k * (n + 1)) + 1) - (SELECT max(x) FROM s WHERE r = floor(k * (n + 1)))), 4) AS value FROM k")
@@ -559,7 +560,7 @@ _formulas("finance_functions", "customer", "c_custkey", "SELECT c_custkey, round
 @query("moments", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS s, round(var_pop(l_quantity), 6) AS v, min(l_quantity) AS lo, max(l_quantity) AS hi, median(l_quantity) AS med, CAST(count(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY 1")
 def moments(spark, d):
     q = F.col("l_quantity")
-    out = read(spark, d, "lineitem").groupBy("l_returnflag").agg(groups.measure("STDEV.S", q).alias("s"), groups.measure("VAR.P", q).alias("v"), groups.measure("MIN", q).alias("lo"), groups.measure("MAX", q).alias("hi"), groups.measure("MEDIAN", q).alias("med"), groups.measure("COUNT", q).alias("n"))
+    out = stats.percentiles(read(spark, d, "lineitem"), ["l_returnflag"], {"med": (q, 0.5)}, groups.measure("STDEV.S", q).alias("s"), groups.measure("VAR.P", q).alias("v"), groups.measure("MIN", q).alias("lo"), groups.measure("MAX", q).alias("hi"), groups.measure("COUNT", q).alias("n"))
     return rounded(out, "s", "v", digits=6)
 
 

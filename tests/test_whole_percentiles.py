@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import stats
+from cellweave.operators import criteria, stats
 from cellweave.plans import catalog
 from cellweave.plans.engine import Engine
 
@@ -37,6 +37,15 @@ def test_whole_column_percentiles_gather_no_values(spark):
         assert got.value == pytest.approx(expected) if expected is not None else got.error == "#NUM!"
 
 
-@pytest.mark.parametrize("name", ["column_statistics"])
+@pytest.mark.parametrize("name", ["column_statistics", "moments", "percentile_inc"])
 def test_queries_gather_no_values(spark, data, name):
-    assert "percentile(" not in catalog.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_conditional_median(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 9.0), ("b", 5.0), ("b", None), ("c", 0.5)], "g string, v double")
+    got = criteria.conditional(df, "v", "median", {"v": ">=1"}, ["g"])
+    assert "median(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {("a", 2.0), ("b", 5.0), ("c", None)}
+    assert criteria.conditional(df, "v", "median", {"v": ">=1"}).first().value == 3.5
