@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import math
 import re
+from functools import lru_cache
 from urllib.parse import quote
 
 from .dates import parts, read_value
@@ -376,6 +377,7 @@ BUILT_IN = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%",
 PIECE = re.compile(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]|General|AM/PM|A/P|[yY]+|[mM]+|[dD]+|[hH]+|[sS]+(?:\.0+)?|E[+-]|e[+-]|.', re.S)
 
 
+@lru_cache(1024)
 def sections(code: str) -> list[list[str]]:
     out, own = [], []
     for p in PIECE.findall(code):
@@ -388,11 +390,18 @@ def sections(code: str) -> list[list[str]]:
 
 
 def is_date(pieces: list[str]) -> bool:
+    return has_date(tuple(pieces))
+
+
+@lru_cache(1024)
+def has_date(pieces: tuple[str, ...]) -> bool:
     return any(p[0] in "yYdDhHsSmM" and p[0] not in '"\\' for p in pieces if p not in ("General",)) or any(re.fullmatch(r"\[[hms]+\]", p, re.I) for p in pieces) or "AM/PM" in pieces
 
 
 def condition(pieces: list[str]):
     for p in pieces:
+        if p[0] != "[":
+            continue
         m = re.fullmatch(r"\[(<=|>=|<>|<|>|=)(-?[\d.]+)\]", p)
         if m:
             v = float(m[2])
@@ -415,10 +424,39 @@ def literal(p: str) -> str | None:
     return None
 
 
+@lru_cache(1024)
+def plain(code: str) -> tuple[int, bool, int, int] | None:
+    """Of a format of digits only, such as #,##0.00 or 00%: zeros before the point, whether thousands are parted, digits
+    after the point, and the factor; None for other formats."""
+    m = re.fullmatch(r"([#0](?:[#0,]*[#0])?)(?:\.(0+))?(%?)", code)
+    if not m or not re.fullmatch("#*0*", m[1].replace(",", "")):
+        return None
+    return m[1].count("0"), "," in m[1], len(m[2] or ""), 100 if m[3] else 1
+
+
+def render_plain(x: float, zeros: int, commas: bool, places: int, factor: int) -> str | None:
+    """What render_number gives for a plain format; None for numbers too large to be rounded as such."""
+    y = abs(x) * factor * 10**places
+    if not y < 1e15:
+        return None
+    n = math.floor(y + 0.5)
+    whole, rest = divmod(n, 10**places)
+    s = (str(whole) if whole else "").rjust(zeros, "0")
+    if commas and len(s) > 3:
+        head = len(s) % 3
+        s = ",".join([s[:head]] * bool(head) + [s[k : k + 3] for k in range(head, len(s), 3)])
+    return ("-" if x < 0 and n else "") + s + ("." + str(rest).rjust(places, "0") if places else "") + ("%" if factor > 1 else "")
+
+
 def render(v, code: str) -> str:
     """A value through a cell format."""
     if isinstance(v, bool):
         return "TRUE" if v else "FALSE"
+    shape = plain(code)
+    if shape and not isinstance(v, str):
+        out = render_plain(num(v), *shape)
+        if out is not None:
+            return out
     parts_ = sections(code)
     if isinstance(v, str):
         own = parts_[3] if len(parts_) > 3 else parts_[-1] if "@" in parts_[-1] else None

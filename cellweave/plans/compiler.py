@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.registry import TABLE, Function, lifted
+from ..functions.registry import TABLE, VOLATILE, Function, lifted
 from ..functions.values import Arr, Err, text
 from ..operators.criteria import criterion
 from ..operators.groups import measure
@@ -685,20 +685,29 @@ def arrow_call(name: str, args: list[Val], custom: Callable | None = None) -> Va
     f = Function(name, "scalar", custom, "a" * len(args)) if custom else TABLE[name]
     result = T.StructType([T.StructField("v", T._parse_datatype_string(KINDS[kind])), T.StructField("e", T.StringType())])
 
+    pure = custom is None and f.kind == "scalar" and name not in VOLATILE
+
+    def one(row):
+        given = [None if v is None or v != v else v for v in row]
+        bad = next((g for g, k in zip(given, carried, strict=True) if k == "e" and g), None)
+        out = Err(bad) if bad else single_result(f, [g for g, k in zip(given, carried, strict=True) if k != "e"])
+        if isinstance(out, Err):
+            return None, out.code
+        return text(out) if kind == "t" else bool(out) if kind == "b" else float(out or 0), None
+
     def run(batch):
         import pandas as pd
 
-        values, errors = [], []
-        for row in batch.itertuples(index=False):
-            given = [None if v is None or v != v else v for v in row]
-            bad = next((g for g, k in zip(given, carried, strict=True) if k == "e" and g), None)
-            out = Err(bad) if bad else single_result(f, [g for g, k in zip(given, carried, strict=True) if k != "e"])
-            if isinstance(out, Err):
-                values.append(None)
-                errors.append(out.code)
-            else:
-                values.append(text(out) if kind == "t" else bool(out) if kind == "b" else float(out or 0))
-                errors.append(None)
+        values, errors, met = [], [], {}  # rows of a batch that are alike are worked out once
+        for row in zip(*[batch[c] for c in batch.columns], strict=True):
+            got = None
+            if pure and all(isinstance(v, (str, float)) and v != 0 for v in row):  # 0 and -0 are equal, but not alike
+                got = met.get(row)
+                if got is None:
+                    got = met[row] = one(row)
+            value, error = got or one(row)
+            values.append(value)
+            errors.append(error)
         return pd.DataFrame({"v": pd.Series(values, dtype="object"), "e": pd.Series(errors, dtype="object")})
 
     fields, carried = [], []
